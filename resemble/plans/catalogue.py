@@ -98,3 +98,79 @@ def simhash_fingerprints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["simhash_fingerprints"] = QUERIES.pop("simhash_fingerprints_q")
+
+
+# --- pairs, triples, cross checks, batch columns ------------------------------
+
+def _turn(conv: DataFrame, offset: int, role: str, name: str) -> DataFrame:
+    return conv.where(F.col("role") == role).select(
+        "conv_id", (F.col("turn") - offset).alias("turn"), F.col("text").alias(name))
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content pairs: a user turn and the assistant turn right after it."""
+    conv = table(spark, sf_dir, "conversations")
+    pairs = _turn(conv, 0, "user", "content_1").join(_turn(conv, 1, "assistant", "content_2"), ["conv_id", "turn"])
+    return pairs.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2")
+
+
+def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content triples: user turn, assistant reply, next user turn."""
+    conv = table(spark, sf_dir, "conversations")
+    t = (_turn(conv, 0, "user", "content_1")
+         .join(_turn(conv, 1, "assistant", "content_2"), ["conv_id", "turn"])
+         .join(_turn(conv, 2, "user", "content_3"), ["conv_id", "turn"]))
+    return t.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2", "content_3")
+
+
+PAIR_METRICS = "jaccard, Cosine, simhash, levenshtein"
+
+
+@query
+def content_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user/assistant turn pairs, several metrics in request order, one unknown name."""
+    return ck.content_metrics(conversation_pairs(spark, sf_dir), "pair_id", ["content_1", "content_2"], PAIR_METRICS)
+
+
+@query
+def content_triple_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user/assistant/user triples, pairs 12, 23, 13, several metrics."""
+    return ck.content_metrics(conversation_triples(spark, sf_dir), "pair_id",
+                              ["content_1", "content_2", "content_3"], PAIR_METRICS)
+
+
+@query
+def batch_pairwise_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three turns of each conversation as content columns, cosine per column pair."""
+    from resemble.sources.content import content_table
+
+    conv = table(spark, sf_dir, "conversations")
+    wide = conv.groupBy("conv_id").pivot("turn", [0, 1, 2]).agg(F.first("text"))
+    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"content{i + 1}") for i in range(3)])
+    return ck.pairwise_columns(content_table(wide, key="conv_id"), "cosine", row_key="conv_id")
+
+
+@query
+def cross_check_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three consecutive documents, pairs 12, 23, 13, cosine."""
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    trip = (ids.select(F.col("doc_id").alias("key_1"))
+            .join(ids.select(F.col("doc_id").alias("key_2")), F.col("key_2") == F.col("key_1") + 1)
+            .join(ids.select(F.col("doc_id").alias("key_3")), F.col("key_3") == F.col("key_1") + 2))
+    checks = trip.select(F.col("key_1").alias("check_id"), "key_1", "key_2", "key_3")
+    return ck.cross_check(checks, documents_corpus(spark, sf_dir), "cosine")
+
+
+# --- Python-backed stages ------------------------------------------------------
+
+@query
+def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed words of every document."""
+    docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t", stem=True)
+    return docs.select("doc_id", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+
+
+@query
+def fuzzy_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First document against all documents, token sort ratio on whole texts."""
+    return ck.one_vs_many(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "fuzzy")
