@@ -21,6 +21,8 @@ Plan shape of :func:`one_vs_many`
 
 from __future__ import annotations
 
+from typing import Callable, Optional, Union
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,31 +73,45 @@ def _bounded_keys(df: DataFrame, col: str, limit: int) -> list | None:
     return None if len(rows) > limit else [r[0] for r in rows]
 
 
-def one_vs_many(checks: DataFrame, corpus: DataFrame, metric: str | None = "cosine", unit: str = "word",
+CorpusSource = Union[DataFrame, Callable[[Optional[list]], DataFrame]]
+
+
+def _corpus(source: CorpusSource, keys: list | None) -> DataFrame:
+    """A corpus restricted to ``keys`` (None: all).  A callable source gets the
+    keys itself, so it can filter raw input before an expensive stage."""
+    if callable(source):
+        return source(keys)
+    return source if keys is None else source.where(F.col("key").isin(keys))
+
+
+def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "cosine", unit: str = "word",
                 min_ngram: int = 1, max_ngram: int = 1, stem: bool = False, check_main_error: bool = True,
-                sort: bool = True, max_broadcast_mains: int = MAX_BROADCAST_MAINS) -> DataFrame:
+                sort: bool = True, max_broadcast_mains: int = MAX_BROADCAST_MAINS,
+                main_corpus: CorpusSource | None = None) -> DataFrame:
     """Each check's main document against each of its distinct sub documents.
 
-    ``checks``: ``(check_id, main_key, sub_key)``.  Returns
-    ``(check_id, sub_key, similarity double, error string, rank int)``, sorted
-    by W3: message rows first, then similarity descending, then key.
+    ``checks``: ``(check_id, main_key, sub_key)``.  ``corpus`` is a corpus
+    DataFrame or a builder ``keys -> corpus``; ``main_corpus`` (default: the
+    same) serves the main side, e.g. pages extracted by another selector (U5).
+    Returns ``(check_id, sub_key, similarity double, error string, rank int)``,
+    sorted by W3: message rows first, then similarity descending, then key.
     """
     m = get_metric(metric)
     tok = dict(unit=unit, min_ngram=min_ngram, max_ngram=max_ngram, stem=stem)
     checks = checks.select("check_id", "main_key", "sub_key").dropDuplicates(["check_id", "main_key", "sub_key"])
+    main_source = corpus if main_corpus is None else main_corpus
 
-    sub_feats = document_features(corpus, [m], "s_", **tok)
+    sub_feats = document_features(_corpus(corpus, None), [m], "s_", **tok)
     subs = checks.join(sub_feats, checks.sub_key == sub_feats.s_key, "inner")
 
     mains = checks.select("check_id", "main_key").distinct()
     keys = _bounded_keys(checks, "main_key", max_broadcast_mains)
     if keys is not None:
-        main_corpus = corpus.where(F.col("key").isin(keys))
-        main_feats = document_features(main_corpus, [m], "m_", **tok)
+        main_feats = document_features(_corpus(main_source, keys), [m], "m_", **tok)
         main_side = F.broadcast(mains).join(main_feats, mains.main_key == main_feats.m_key, "left")
         pairs = subs.join(F.broadcast(main_side.drop("main_key")), on="check_id", how="inner")
     else:
-        main_feats = document_features(corpus, [m], "m_", **tok)
+        main_feats = document_features(_corpus(main_source, None), [m], "m_", **tok)
         main_side = mains.join(main_feats, mains.main_key == main_feats.m_key, "left")
         pairs = subs.join(main_side.drop("main_key"), on="check_id", how="inner")
 
@@ -127,7 +143,7 @@ def _pair_error(left_err: Column, left_key: Column, right_err: Column, right_key
         .when(right_err.isNotNull(), F.concat(F.lit(PAGE_NOT_FOUND + ": "), right_key.cast("string")))
 
 
-def cross_check(checks: DataFrame, corpus: DataFrame, metric: str | None = "cosine", unit: str = "word",
+def cross_check(checks: DataFrame, corpus: CorpusSource, metric: str | None = "cosine", unit: str = "word",
                 min_ngram: int = 1, max_ngram: int = 1, stem: bool = False) -> DataFrame:
     """Three keys per check, pairs 12, 23, 13 in that order.
 
@@ -145,8 +161,8 @@ def cross_check(checks: DataFrame, corpus: DataFrame, metric: str | None = "cosi
             F.struct(F.lit("13").alias("pair"), F.col("key_1").alias("left_key"), F.col("key_3").alias("right_key")),
         )).alias("p"),
     ).select("check_id", "p.*")
-    left = document_features(corpus, [m], "l_", **tok)
-    right = document_features(corpus, [m], "r_", **tok)
+    left = document_features(_corpus(corpus, None), [m], "l_", **tok)
+    right = left.select(*[F.col(c).alias("r_" + c[2:]) for c in left.columns])
     joined = pairs.join(left, pairs.left_key == left.l_key, "left").join(right, pairs.right_key == right.r_key, "left")
     missing = F.lit("missing")
     error = _pair_error(F.coalesce(F.col("l_error"), F.when(F.col("l_key").isNull(), missing)), F.col("left_key"),

@@ -174,3 +174,77 @@ def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document against all documents, token sort ratio on whole texts."""
     return ck.one_vs_many(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "fuzzy")
+
+
+# --- pages -------------------------------------------------------------------
+
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def page_corpus(pages: DataFrame, method: str = "dragnet", selector: str | None = None, selector_type: str = "css"):
+    """A corpus builder over pages: filter by URL first, then extract (see ``one_vs_many``)."""
+    from resemble.operators.pages import extract
+
+    def build(keys):
+        src = pages if keys is None else pages.where(F.col("url").isin(keys))
+        out = extract(src, method, selector, selector_type)
+        return ck.corpus_from(out, "url", "content")
+
+    return build
+
+
+@query
+def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every page URL."""
+    from resemble.functions.urltext import url_text as words_of_url
+
+    return pages_table(spark, sf_dir).select("page_id", "url", words_of_url(F.col("url")).alias("url_text"))
+
+
+@query
+def page_titles_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, meta description and keywords of every page."""
+    from resemble.operators.pages import meta_parts, page_nodes
+
+    pages = pages_table(spark, sf_dir)
+    return meta_parts(pages, page_nodes(pages)).select("page_id", "title", "description", "keywords")
+
+
+def _extract_query(method: str, selector: str | None = None, selector_type: str = "css"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from resemble.operators.pages import extract
+
+        return extract(pages_table(spark, sf_dir), method, selector, selector_type)
+
+    return run
+
+
+QUERIES["all_text"] = _extract_query("all_text")
+QUERIES["selective_css"] = _extract_query("selective", "article p", "css")
+QUERIES["selective_xpath"] = _extract_query("selective", "//div[@class='ad']", "xpath")
+QUERIES["main_content_density"] = _extract_query("dragnet")
+QUERIES["main_content_container"] = _extract_query("readability")
+QUERIES["cleaned_content"] = _extract_query("goose")
+QUERIES["combined_content"] = _extract_query("goose_dragnet")
+
+
+@query
+def page_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page (its article paragraphs) against every page (main content), jaccard."""
+    pages = pages_table(spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url")
+    main_url = ids.orderBy("page_id").select("url").first()[0]
+    checks = ids.select(F.lit(0).alias("check_id"), F.lit(main_url).alias("main_key"), F.col("url").alias("sub_key"))
+    return ck.one_vs_many(checks, page_corpus(pages, "dragnet"), "jaccard",
+                          main_corpus=page_corpus(pages, "selective", "article p", "css"))
+
+
+@query
+def page_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 on pages: every three consecutive pages, all visible text, cosine."""
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url")
+    a, b, c = (ids.select(F.col("page_id").alias(f"p{i}"), F.col("url").alias(f"key_{i}")) for i in (1, 2, 3))
+    trip = a.join(b, F.col("p2") == F.col("p1") + 1).join(c, F.col("p3") == F.col("p1") + 2)
+    checks = trip.select(F.col("p1").alias("check_id"), "key_1", "key_2", "key_3")
+    return ck.cross_check(checks, page_corpus(pages_table(spark, sf_dir), "all_text"), "cosine")
