@@ -248,3 +248,136 @@ def page_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     trip = a.join(b, F.col("p2") == F.col("p1") + 1).join(c, F.col("p3") == F.col("p1") + 2)
     checks = trip.select(F.col("p1").alias("check_id"), "key_1", "key_2", "key_3")
     return ck.cross_check(checks, page_corpus(pages_table(spark, sf_dir), "all_text"), "cosine")
+
+
+# --- URL lists, fetch responses, ledger, replay, jobs ---------------------------------
+
+LEDGER_ASOF = "2024-01-10 00:00:00"
+LEDGER_TTL = 86_400
+REPLAY_TTL = 86_400
+
+
+@query
+def url_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's links as a quoted, comma-separated request string, parsed back to distinct URLs."""
+    from resemble.sources.ledger import request_urls
+
+    pages = pages_table(spark, sf_dir)
+    hrefs = F.regexp_extract_all(F.col("html"), F.lit('href="([^"]*)"'), 1)
+    raw = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("'"), h, F.lit("'"))), " , ")
+    return request_urls(pages.select("page_id", raw.alias("raw")), "page_id", "raw")
+
+
+def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch responses stood in by pages: no closing html → 404, no closing body → page timeout flag."""
+    pages = pages_table(spark, sf_dir)
+    has_html_end = F.col("html").contains("</html>")
+    return pages.select(
+        "page_id", "url",
+        F.when(has_html_end, 200).otherwise(404).alias("status"),
+        has_html_end.alias("ok"),
+        F.when(has_html_end, "OK").otherwise("Not Found").alias("reason"),
+        "html",
+        (~F.col("html").contains("</body>")).alias("page_timeout"),
+        F.lit(None).cast("string").alias("exception"),
+        F.lit(False).alias("timed_out"))
+
+
+@query
+def fetch_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch responses → page records with the reference's error messages and codes."""
+    from resemble.sources.ledger import normalise_responses
+
+    return normalise_responses(page_responses(spark, sf_dir), keep=("page_id",))
+
+
+def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a crawl log: the key ``user_id`` is the URL; an error event is a failed crawl."""
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return ev.select(
+        "event_id", "event_type",
+        F.concat(F.lit("http://site.example/u/"), F.col("user_id").cast("string")).alias("url"),
+        F.col("props").alias("content"),
+        F.when(F.col("event_type") == "error", F.lit("Crawling error: Not Found")).alias("error"),
+        F.when(F.col("event_type") == "error", F.lit(404)).otherwise(F.lit(200)).alias("code"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.col("ts").cast("timestamp").alias("crawled_at"))
+
+
+def _ledger_and_requests(spark: SparkSession, sf_dir: str):
+    log = crawl_log(spark, sf_dir)
+    ledger = log.where((F.col("event_type") != "view") & (F.col("crawled_at") <= F.lit(LEDGER_ASOF).cast("timestamp"))) \
+        .select("url", "content", "error", "code", "ok", "crawled_at")
+    requests = log.where((F.col("event_type") == "view")
+                         & (F.col("crawled_at") <= F.lit(LEDGER_ASOF).cast("timestamp"))).select("url")
+    return log, ledger, requests
+
+
+def _ledger_out(df: DataFrame) -> DataFrame:
+    return df.select("url", "content", "error", "code", "ok",
+                     F.date_format("crawled_at", "yyyy-MM-dd HH:mm:ss").alias("crawled_date"))
+
+
+@query
+def ledger_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest unexpired record (1 day, as of a fixed time) of every requested URL."""
+    from resemble.sources.ledger import resolve
+
+    _, ledger, requests = _ledger_and_requests(spark, sf_dir)
+    return _ledger_out(resolve(requests, ledger, LEDGER_ASOF, LEDGER_TTL))
+
+
+@query
+def ledger_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested URLs without an unexpired record."""
+    from resemble.sources.ledger import frontier
+
+    _, ledger, requests = _ledger_and_requests(spark, sf_dir)
+    return frontier(requests, ledger, LEDGER_ASOF, LEDGER_TTL)
+
+
+@query
+def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frontier URLs fetched now (their last view as content) merged into the ledger."""
+    from resemble.sources.ledger import frontier, latest_per_url, stamp, upsert
+
+    log, ledger, requests = _ledger_and_requests(spark, sf_dir)
+    todo = frontier(requests, ledger, LEDGER_ASOF, LEDGER_TTL)
+    views = latest_per_url(log.where((F.col("event_type") == "view")
+                                     & (F.col("crawled_at") <= F.lit(LEDGER_ASOF).cast("timestamp")))
+                           .select("url", "content", F.lit(None).cast("string").alias("error"),
+                                   F.lit(200).alias("code"), F.lit(True).alias("ok"), "crawled_at"))
+    fresh = stamp(views.join(todo, "url", "left_semi"), LEDGER_ASOF)
+    return _ledger_out(upsert(ledger, fresh))
+
+
+@query
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every access of the event log replayed against a 24 h fixed-expiry cache, per user."""
+    from resemble.operators.replay import replay
+
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("user_id", "event_id", "ts")
+    return replay(ev, "user_id", "ts", "event_id", REPLAY_TTL).select("user_id", "event_id", "miss")
+
+
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as batch jobs: one job per user, sized by its events; non-error events are finished rows,
+    a purchase marks the job finished."""
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    starts = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"), F.min("ts").alias("ts")) \
+        .select(F.col("user_id").alias("job_id"), F.lit("start").alias("kind"), "size", "ts")
+    rows = ev.where(F.col("event_type") != "error").select(
+        F.col("user_id").alias("job_id"), F.lit("row").alias("kind"), F.lit(None).cast("long").alias("size"), "ts")
+    fins = ev.where(F.col("event_type") == "purchase").select(
+        F.col("user_id").alias("job_id"), F.lit("finish").alias("kind"), F.lit(None).cast("long").alias("size"), "ts")
+    return starts.unionByName(rows).unionByName(fins)
+
+
+@query
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per job size, progress, percent complete and finish flag, newest first."""
+    from resemble.operators.jobs import job_list
+
+    out = job_list(job_log(spark, sf_dir))
+    return out.select("job_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "size",
+                      "progress", "complete", "finish")
