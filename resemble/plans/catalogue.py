@@ -381,3 +381,46 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = job_list(job_log(spark, sf_dir))
     return out.select("job_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "size",
                       "progress", "complete", "finish")
+
+
+# --- corpus-scale joins and ranking ---------------------------------------------
+
+BENCHMARK_THRESHOLD = 20.0
+
+
+@query
+def one_vs_many_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cosine_one_vs_many computed by postings (distinct tokens ⋈ main postings)."""
+    from resemble.operators.postings import one_vs_many_postings as run
+
+    return run(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "cosine")
+
+
+@query
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 with many mains: benchmark items against all documents, cosine ≥ 20."""
+    from resemble.operators.postings import many_mains_overlap
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    return many_mains_overlap(items, docs, "cosine", BENCHMARK_THRESHOLD)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k):
+    from resemble.operators.ranking import ranked_retrieval as run
+
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    main = docs.agg(F.min("doc_id")).first()[0]
+    return run(documents_corpus(spark, sf_dir), main, k=k)
+
+
+@query
+def ranked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First document's text as a query over all documents, top 10 scored."""
+    return _ranked(spark, sf_dir, 10)
+
+
+@query
+def ranked_retrieval_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 with every hit scored (k = None)."""
+    return _ranked(spark, sf_dir, None)
