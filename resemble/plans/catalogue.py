@@ -424,3 +424,35 @@ def ranked_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_retrieval_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 with every hit scored (k = None)."""
     return _ranked(spark, sf_dir, None)
+
+
+NEAR_DUP_THRESHOLD = 70.0
+NEAR_DUP_BITS = 3
+
+
+def _docs_kc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+
+
+@query
+def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All document pairs with Jaccard ≥ 70 (copy groups as star edges, prefix-filter join)."""
+    from resemble.operators.simjoin import set_join
+
+    return set_join(_docs_kc(spark, sf_dir), "jaccard", NEAR_DUP_THRESHOLD)
+
+
+@query
+def near_dup_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All document pairs with binary cosine ≥ 70."""
+    from resemble.operators.simjoin import set_join
+
+    return set_join(_docs_kc(spark, sf_dir), "cosine", NEAR_DUP_THRESHOLD)
+
+
+@query
+def near_dup_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All document pairs whose simhash fingerprints differ in ≤ 3 bits (banded join)."""
+    from resemble.operators.simjoin import fingerprint_join
+
+    return fingerprint_join(_docs_kc(spark, sf_dir), NEAR_DUP_BITS)
