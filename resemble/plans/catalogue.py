@@ -456,3 +456,52 @@ def near_dup_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resemble.operators.simjoin import fingerprint_join
 
     return fingerprint_join(_docs_kc(spark, sf_dir), NEAR_DUP_BITS)
+
+
+# --- streams -----------------------------------------------------------------------
+
+@query
+def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a file stream; per user, accesses that miss a 24 h fixed-expiry cache."""
+    from resemble.streaming.streams import file_stream, frontier_stream, run_to_table
+
+    log = file_stream(spark, sf_dir, "events")
+    out = run_to_table(frontier_stream(log, "user_id", "ts", "event_id", REPLAY_TTL), "frontier")
+    return out.select(F.col("key").alias("user_id"), "event_id")
+
+
+@query
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job progress from the event log as a stream (sizes from the static log)."""
+    from resemble.streaming.streams import file_stream, progress_stream, run_to_table, write_progress
+
+    ev = file_stream(spark, sf_dir, "events")
+    rows = ev.select(F.col("user_id").alias("job_id"),
+                     F.when(F.col("event_type") == "purchase", "finish")
+                     .when(F.col("event_type") != "error", "row").alias("kind"))
+    rows = rows.where(F.col("kind").isNotNull()).unionByName(
+        ev.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("job_id"), F.lit("row").alias("kind")))
+    static = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    sizes = static.groupBy(F.col("user_id").alias("job_id")).agg(F.count(F.lit(1)).cast("long").alias("size"))
+    return run_to_table(progress_stream(rows), "progress", "complete", write_progress(sizes))
+
+
+@query
+def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arriving as a stream, each scored against the first document (cosine), stateless."""
+    from resemble.functions.metrics import get_metric
+    from resemble.streaming.streams import file_stream, run_to_table
+
+    m = get_metric("cosine")
+    checks = first_doc_checks(spark, sf_dir)
+    main_key = checks.select("main_key").first()[0]
+    main = ck.document_features(documents_corpus(spark, sf_dir).where(F.col("key") == main_key), [m], "m_") \
+        .select(F.lit(0).alias("check_id"), "m_set", "m_empty")
+    docs = file_stream(spark, sf_dir, "documents")
+    subs = ck.document_features(ck.corpus_from(docs, "doc_id", "text"), [m], "s_") \
+        .select(F.lit(0).alias("check_id"), F.col("s_key").alias("sub_key"), "s_set")
+    scored = subs.join(F.broadcast(main), "check_id").select(
+        "check_id", "sub_key",
+        F.when(~F.col("m_empty"), m.compare("m_", "s_")).cast("double").alias("similarity"),
+        F.when(F.col("m_empty"), F.lit(ck.MAIN_EMPTY)).alias("error"))
+    return run_to_table(scored, "check")
