@@ -85,8 +85,8 @@ def simhash_fingerprints(df: DataFrame, keys: list[str], tokens: str, out: str =
     hashed = exploded.select(*keys, F.when(F.col("_t").isNotNull(), token_hash64(F.col("_t"))).alias("_h"))
     sums = ", ".join(f"sum(CASE WHEN _h IS NULL THEN 0 WHEN getbit(_h, {i}) = 1 THEN 1 ELSE -1 END)"
                      for i in range(FINGERPRINT_BITS))
-    agg = hashed.groupBy(*keys).agg(F.expr(f"array({sums})").alias("_b"))
-    return agg.select(*keys, F.expr(_fingerprint_from_sums("_b")).alias(out))
+    agg = hashed.groupBy(*keys).agg(F.expr(f"array({sums})").alias("_b"), F.count("_h").alias("_n"))
+    return agg.select(*keys, F.expr(_fingerprint_from_sums("_b")).alias(out), F.col("_n").alias(out + "_n"))
 
 
 def _fingerprint_from_sums(sums: str) -> str:
@@ -171,7 +171,7 @@ def _prepare_fuzzy(df: DataFrame, keys: list[str], tokens: str, prefix: str) ->
 
 
 def _prepare_simhash(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
-    fps = simhash_fingerprints(df.select(*keys, tokens), keys, tokens, out=prefix + "fp")
+    fps = simhash_fingerprints(df.select(*keys, tokens), keys, tokens, out=prefix + "fp").drop(prefix + "fp_n")
     with_n = df.withColumn(prefix + "n", F.size(F.col(tokens)))
     return with_n.join(fps, on=keys, how="left")
 

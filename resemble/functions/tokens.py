@@ -100,6 +100,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(normalized_text(text), WS_CLASS + "+"), "")
 
 
+def explode_items(df: DataFrame, keep: list, array_col, out: str) -> DataFrame:
+    """One row per element of ``array_col`` (rows with empty arrays vanish).
+
+    ``explode`` would make Catalyst infer ``size(array) > 0`` and push it below
+    the projection that computes the array, evaluating the whole tokeniser a
+    second time (before any repartition); ``explode_outer`` plus a filter on the
+    generated column cannot move below the generator.
+    """
+    col = F.col(array_col) if isinstance(array_col, str) else array_col
+    return df.select(*keep, F.explode_outer(col).alias(out)).where(F.col(out).isNotNull())
+
+
 def _ngrams_of(items: Column, n: int, sep: str) -> Column:
     if n == 1:
         return items

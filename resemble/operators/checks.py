@@ -37,6 +37,7 @@ from resemble.functions.metrics import (
 )
 from resemble.functions.tokens import clean_text, with_tokens
 from resemble.operators.order import competition_rank, order_score
+from resemble.session import materialize
 
 # ---------------------------------------------------------------------------
 # The reference's result messages.
@@ -130,7 +131,8 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
 
 def rank_results(df: DataFrame, sort: bool = True, key: str = "sub_key") -> DataFrame:
     """Competition rank per check (messages first) and an optional global sort."""
-    scored = df.withColumn("_o", order_score(F.col("similarity"), F.col("error")))
+    # the scores feed the histogram and the join back: compute them once
+    scored = materialize(df.withColumn("_o", order_score(F.col("similarity"), F.col("error"))))
     ranked = competition_rank(scored, ["check_id"], "_o")
     if sort:
         ranked = ranked.orderBy(F.col("check_id"), F.col("_o").desc(), F.col(key))
@@ -223,7 +225,7 @@ def content_metrics(df: DataFrame, key: str, texts: list[str], metrics: str | li
                 sim, err = F.lit(None).cast("double"), F.lit(UNKNOWN_METRIC_MESSAGE % n)
             cells.append(F.struct(F.lit(f"{i + 1}{j + 1}").alias("pair"), F.lit(o).alias("ord"),
                                   F.lit(n).alias("metric"), sim.alias("similarity"), err.alias("error")))
-    return cur.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+    return cur.select(key, F.explode_outer(F.array(*cells)).alias("c")).select(key, "c.*")
 
 
 def distance_column_names(columns: list[str]) -> list[str]:

@@ -21,7 +21,9 @@ MESSAGE_SCORE = float("inf")
 
 def order_score(similarity: Column, error: Column) -> Column:
     """Sort key of W3: message rows first (they sort above any number), then similarity."""
-    return F.when(error.isNotNull(), F.lit(MESSAGE_SCORE)).otherwise(similarity)
+    # never null (coalesce with a literal): no ``isnotnull`` is inferred on the join
+    # key, which Catalyst would push below the projection and so score twice
+    return F.coalesce(F.when(error.isNotNull(), F.lit(MESSAGE_SCORE)).otherwise(similarity), F.lit(-1.0))
 
 
 def competition_rank(df: DataFrame, part_cols: list[str], score: str, out: str = "rank") -> DataFrame:

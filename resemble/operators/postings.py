@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resemble.functions.tokens import with_tokens
+from resemble.functions.tokens import explode_items, with_tokens
 from resemble.operators.checks import MAX_BROADCAST_MAINS, _bounded_keys, rank_results
+from resemble.session import materialize
 
 MAX_BROADCAST_POSTINGS = 2_000_000
 
@@ -51,9 +52,9 @@ def overlap_counts(main_sets: DataFrame, doc_sets: DataFrame) -> DataFrame:
 
     ``main_sets``: ``(check_id, s)``; ``doc_sets``: ``(key, s)``.
     """
-    main_post = main_sets.select("check_id", F.explode("s").alias("token"))
+    main_post = explode_items(main_sets, ["check_id"], "s", "token")
     main_post = bounded_broadcast(main_post, MAX_BROADCAST_POSTINGS)
-    doc_post = doc_sets.select("key", F.explode("s").alias("token"))
+    doc_post = explode_items(doc_sets, ["key"], "s", "token")
     return doc_post.join(main_post, "token").groupBy("check_id", "key").agg(F.count(F.lit(1)).alias("inter"))
 
 
@@ -74,7 +75,7 @@ def one_vs_many_postings(checks: DataFrame, corpus: DataFrame, metric: str = "co
     main_meta = main_info.select("check_id", F.size(F.coalesce("s", F.array())).alias("mn"),
                                  F.col("main_key").alias("mk"), (F.col("content") == "").alias("m_empty"),
                                  F.col("error").alias("m_error"), F.col("s").isNull().alias("m_missing"))
-    doc_sets = token_sets(corpus, **tok)
+    doc_sets = materialize(token_sets(corpus, **tok))
     inter = overlap_counts(main_sets, doc_sets).withColumnRenamed("key", "sub_key")
     sizes = doc_sets.select(F.col("key").alias("sub_key"), F.size("s").alias("sn"))
     errors = corpus.select(F.col("key").alias("sub_key"), F.col("error").alias("s_error"))
@@ -101,7 +102,7 @@ def many_mains_overlap(mains: DataFrame, corpus: DataFrame, metric: str = "cosin
     mains × documents.
     """
     main_sets = token_sets(mains, **tok).select(F.col("key").alias("check_id"), "s")
-    doc_sets = token_sets(corpus, **tok)
+    doc_sets = materialize(token_sets(corpus, **tok))
     inter = overlap_counts(main_sets, doc_sets)
     msize = bounded_broadcast(main_sets.select("check_id", F.size("s").alias("mn")), MAX_BROADCAST_POSTINGS)
     dsize = doc_sets.select("key", F.size("s").alias("sn"))

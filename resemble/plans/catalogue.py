@@ -94,7 +94,7 @@ def simhash_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_fingerprints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: 64-bit simhash fingerprint of every document's words."""
     docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "tokens").select("doc_id", "tokens")
-    return simhash_fingerprints(docs, ["doc_id"], "tokens")
+    return simhash_fingerprints(docs, ["doc_id"], "tokens").select("doc_id", "fingerprint")
 
 
 QUERIES["simhash_fingerprints"] = QUERIES.pop("simhash_fingerprints_q")

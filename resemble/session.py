@@ -53,3 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables."""
     return ensure_checkpoint_dir(spark)
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the shared folder.
+
+    Used for intermediates that several branches of one plan read (token sets,
+    scored pairs): without it each branch re-runs the tokeniser from the text.
+    The files sit under ``spark.checkpoint.dir``, so a lost executor costs a
+    re-read, not a recomputation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
