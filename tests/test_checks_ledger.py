@@ -210,3 +210,14 @@ def test_fingerprint_join_equals_brute_force(spark):
             if bin((fps[x] ^ fps[y]) & (2 ** 64 - 1)).count("1") <= 3}
     got = _expand([tuple(r) for r in fingerprint_join(corpus, 3).collect()])
     assert set(got) == want
+
+
+def test_replay_hot_key_matches_fold(spark):
+    from resemble.operators.replay import replay_fold
+
+    ev = spark.read.parquet(f"{SF0001}/events.parquet")
+    hot = ev.select(F.when(F.col("user_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")).alias("user_id"),
+                    "event_id", "ts")  # half of all rows in one key
+    a = {(r.user_id, r.event_id): r.miss for r in replay(hot, "user_id", "ts", "event_id", 3600).collect()}
+    b = {(r.user_id, r.event_id): r.miss for r in replay_fold(hot, "user_id", "ts", "event_id", 3600).collect()}
+    assert a == b and len(a) == 1000
