@@ -306,14 +306,24 @@ def _with_meta(pages: DataFrame, nodes: DataFrame, body: DataFrame, content_firs
     return meta.select("page_id", "url", content.alias("content"))
 
 
+_USER_EXTRACTORS: dict = {}
+
+
+def register_extractor(name: str, fn) -> None:
+    """V2: a user extractor ``(pages, nodes) -> DataFrame(page_id, url, content)``."""
+    _USER_EXTRACTORS[name] = fn
+
+
 def extract(pages: DataFrame, method: str = "dragnet", selector: str | None = None,
             selector_type: str = "css", url_fallback: bool = True) -> DataFrame:
     """``(page_id, url, content)`` by the named recipe; F6: empty raw html → the URL."""
-    if method not in EXTRACTORS:
+    if method not in EXTRACTORS and method not in _USER_EXTRACTORS:
         raise ValueError("The extractor name '%s' does not support yet" % method)
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     nodes = page_nodes(pages.where(F.col("html") != ""))
-    if method == "all_text":
+    if method in _USER_EXTRACTORS:
+        out = _USER_EXTRACTORS[method](pages, nodes).select("page_id", "url", "content")
+    elif method == "all_text":
         out = all_text(pages, nodes)
     elif method == "selective":
         out = selective(pages, selector or "", selector_type, nodes)

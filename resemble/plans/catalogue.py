@@ -505,3 +505,12 @@ def stream_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~F.col("m_empty"), m.compare("m_", "s_")).cast("double").alias("similarity"),
         F.when(F.col("m_empty"), F.lit(ck.MAIN_EMPTY)).alias("error"))
     return run_to_table(scored, "check")
+
+
+@query
+def page_extract_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's extracted content (default recipe) next to its word tokens, as the extract call returns."""
+    from resemble.operators.pages import extract
+
+    out = tk.with_tokens(extract(pages_table(spark, sf_dir), "dragnet"), "content", "t")
+    return out.select("page_id", "url", "content", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
