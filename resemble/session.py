@@ -23,6 +23,9 @@ _LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+    # text work is CPU-bound per row: let AQE coalesce small shuffles into
+    # ~256 KB partitions (not 1 MB), so a few MB of candidate pairs still use all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
 }
 
 
