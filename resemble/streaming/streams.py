@@ -27,11 +27,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from resemble.session import checkpoint_dir
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir`` as a file stream (schema taken from the batch read)."""
+def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 16) -> DataFrame:
+    """A table of ``sf_dir`` as a file stream (schema taken from the batch read).
+
+    ``maxFilesPerTrigger`` bounds each micro-batch, and so the rows one key's
+    state function sees at once.
+    """
     base = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{base}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("basePath", base).parquet(f"{base}/{name}*.parquet")
+    return spark.readStream.schema(schema).option("basePath", base) \
+        .option("maxFilesPerTrigger", files_per_trigger).parquet(f"{base}/{name}*.parquet")
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:

@@ -57,3 +57,19 @@ def test_user_extractor(spark):
     pages = spark.createDataFrame([(1, "http://x/", "<p>Hi</p>")], "page_id long, url string, html string")
     P.register_extractor("upper", lambda pg, nodes: pg.select("page_id", "url", F.upper("html").alias("content")))
     assert P.extract(pages, "upper").first().content == "<P>HI</P>"
+
+
+def test_s11_ledger_write_and_prune(spark):
+    d = tempfile.mkdtemp(prefix="resemble-ledger-")
+    now = dt.datetime(2024, 1, 31)
+    recs = spark.createDataFrame([("a", "x", None, 200, True), ("b", "", "boom", 408, False)],
+                                 "url string, content string, error string, code int, ok boolean")
+    L.write_ledger(L.stamp(recs, now - dt.timedelta(days=10)), d)
+    L.write_ledger(L.stamp(recs.where("url = 'a'"), now - dt.timedelta(days=1)), d)
+    ledger = spark.read.parquet(d)
+    assert sorted(r.crawl_date.isoformat() for r in ledger.select("crawl_date").distinct().collect()) == \
+        ["2024-01-21", "2024-01-30"]
+    req = spark.createDataFrame([("a",), ("b",)], "url string")
+    hits = L.resolve(req, ledger.drop("crawl_date"), now)
+    assert [r.url for r in hits.collect()] == ["a"]
+    assert [r.url for r in L.frontier(req, ledger.drop("crawl_date"), now).collect()] == ["b"]
