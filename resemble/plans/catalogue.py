@@ -38,8 +38,8 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_doc_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One check: the lowest ``doc_id`` as main page, every document as a sub page."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
-    main = docs.agg(F.min("doc_id")).first()[0]
-    return docs.select(F.lit(0).alias("check_id"), F.lit(main).cast("long").alias("main_key"),
+    main = docs.agg(F.min("doc_id")).scalar()  # a scalar subquery, evaluated with the plan
+    return docs.select(F.lit(0).alias("check_id"), main.cast("long").alias("main_key"),
                        F.col("doc_id").alias("sub_key"))
 
 
