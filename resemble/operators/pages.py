@@ -45,19 +45,21 @@ def _ordered_join(values: Column, order: Column, sep: str) -> Column:
     return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)
 
 
-def page_meta(nodes: DataFrame) -> DataFrame:
+def page_meta(nodes: DataFrame, meta_property: bool = False) -> DataFrame:
     """``(page_id, title, description, keywords)``.
 
     Title: the first text inside the first ``<title>``; description/keywords:
     the ``content`` of the first ``<meta>`` whose ``name`` contains the word,
-    any case (``property`` is never consulted, quirk Q1).
+    any case.  ``property`` is consulted only with ``meta_property=True`` and
+    only when ``name`` is missing (by default never, as in the reference, Q1).
     """
     first_title = nodes.where((F.col("kind") == "e") & (F.col("tag") == "title")) \
         .groupBy("page_id").agg(F.min("pos").alias("tpos"))
     title = nodes.where(F.col("kind") == "t").join(first_title, "page_id") \
         .where(F.col("parent") == F.col("tpos")).groupBy("page_id").agg(F.min_by("text", "pos").alias("title"))
     metas = nodes.where((F.col("kind") == "e") & (F.col("tag") == "meta"))
-    name = F.coalesce(F.col("attrs")["name"], F.lit(""))
+    name = F.coalesce(F.col("attrs")["name"], F.col("attrs")["property"] if meta_property else F.lit(""),
+                      F.lit(""))
     content = F.coalesce(F.col("attrs")["content"], F.lit(""))
     meta = metas.groupBy("page_id").agg(
         F.min_by(F.when(name.rlike("(?i)description"), content), F.when(name.rlike("(?i)description"), F.col("pos")))
@@ -315,8 +317,14 @@ def register_extractor(name: str, fn) -> None:
 
 
 def extract(pages: DataFrame, method: str = "dragnet", selector: str | None = None,
-            selector_type: str = "css", url_fallback: bool = True) -> DataFrame:
-    """``(page_id, url, content)`` by the named recipe; F6: empty raw html → the URL."""
+            selector_type: str = "css", url_fallback: bool = True,
+            fallback_after_extract: bool = False) -> DataFrame:
+    """``(page_id, url, content)`` by the named recipe.
+
+    F6: empty raw html → the URL.  ``fallback_after_extract=True`` also gives
+    the URL to pages whose extracted text is empty (the reference does this for
+    batches over ten pages only, quirk Q3).
+    """
     if method not in EXTRACTORS and method not in _USER_EXTRACTORS:
         raise ValueError("The extractor name '%s' does not support yet" % method)
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
@@ -343,4 +351,7 @@ def extract(pages: DataFrame, method: str = "dragnet", selector: str | None = No
         raw = pages.select("page_id", (F.col("html") == "").alias("_blank"))
         out = out.join(raw, "page_id").select(
             "page_id", "url", F.when(F.col("_blank"), F.col("url")).otherwise(F.col("content")).alias("content"))
+    if fallback_after_extract:
+        out = out.select("page_id", "url", F.when(F.coalesce(F.col("content"), F.lit("")) == "", F.col("url"))
+                         .otherwise(F.col("content")).alias("content"))
     return out

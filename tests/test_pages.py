@@ -59,3 +59,13 @@ def test_every_extractor_runs(pages):
 def test_unknown_extractor_raises(pages):
     with pytest.raises(ValueError):
         P.extract(pages, "nope")
+
+
+def test_quirk_options(spark):
+    html = '<html><head><meta property="description" content="P"></head><body><p></p></body></html>'
+    pages = spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string")
+    nodes = P.page_nodes(pages)
+    assert P.page_meta(nodes).first().description is None
+    assert P.page_meta(nodes, meta_property=True).first().description == "P"
+    assert P.extract(pages, "selective", "p").first().content == ""
+    assert P.extract(pages, "selective", "p", fallback_after_extract=True).first().content == "http://a.com/"
