@@ -59,18 +59,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage: a Parquet table in the shared folder.
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the shared folder.
 
     Used for intermediates that several branches of one plan read (token sets,
-    scored pairs): without it each branch re-runs the tokeniser from the text.
-    A written table (not ``checkpoint()``, whose reliable form computes an
-    uncached Dataset twice: once to count, once to save) is computed and
-    written once, read back split by file, and survives a lost executor.  It
-    lives under ``spark.checkpoint.dir``, the folder the cluster names.
+    scored pairs, jump tables): without it each branch re-runs the tokeniser
+    from the text.  The rows are persisted while the checkpoint is written, so
+    they are computed once (a reliable checkpoint of an uncached Dataset
+    computes it twice: once to count, once to save); the files sit under
+    ``spark.checkpoint.dir``, the folder the cluster names, so a lost executor
+    costs a re-read, not a recomputation.
     """
-    import uuid
+    from pyspark import StorageLevel
 
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
