@@ -22,7 +22,7 @@ a key holding a third of the log is spread over many tasks:
    equi-joins on the unique access id, and the chain from each key's first
    access is unrolled in ``⌈log2(misses per key)⌉`` rounds.  The number of
    rounds comes from the longest key's time span over ``ttl`` (misses are at
-   least ``ttl`` apart).  Every jump table is checkpointed to the shared folder.
+   least ``ttl`` apart).  Every round is checkpointed to the shared folder.
 
 :func:`replay_fold` is the direct per-key fold (``aggregate`` over the key's
 sorted accesses); it is kept as an independent check and for small logs.
@@ -145,7 +145,9 @@ def replay(log: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int) -
     marked = roots
     for j in reversed(jumps):
         step = marked.join(j, "id").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("id"))
-        marked = marked.unionByName(step).distinct()  # at most the misses; a few rounds deep
+        # checkpointed: the next round reads ``marked`` twice, so an unmaterialised
+        # chain would be recomputed 2^rounds times
+        marked = materialize(marked.unionByName(step).distinct())
     out = base.join(marked.withColumn("miss", F.lit(True)), "id", "left")
     return out.select(F.col("k").alias(key), F.col("id").alias(event_id), F.col("ts").alias(ts),
                       F.coalesce("miss", F.lit(False)).alias("miss"))
