@@ -398,12 +398,12 @@ def one_vs_many_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9 with many mains: benchmark items against all documents, cosine ≥ 20."""
-    from resemble.operators.postings import many_mains_overlap
+    """J9 with many mains: benchmark items against all documents, cosine ≥ 20 (prefix-filtered R-S join)."""
+    from resemble.operators.simjoin import set_join_rs
 
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("content"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
-    return many_mains_overlap(items, docs, "cosine", BENCHMARK_THRESHOLD)
+    return set_join_rs(items, docs, "cosine", BENCHMARK_THRESHOLD)
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k):

@@ -221,3 +221,28 @@ def test_replay_hot_key_matches_fold(spark):
     a = {(r.user_id, r.event_id): r.miss for r in replay(hot, "user_id", "ts", "event_id", 3600).collect()}
     b = {(r.user_id, r.event_id): r.miss for r in replay_fold(hot, "user_id", "ts", "event_id", 3600).collect()}
     assert a == b and len(a) == 1000
+
+
+def test_rs_set_join_equals_brute_force(spark):
+    from resemble.functions.tokens import words
+    from resemble.operators.simjoin import set_join_rs
+
+    def sets(name, key):
+        rows = spark.read.parquet(f"{SF0001}/{name}.parquet") \
+            .select(key, F.array_distinct(words(F.col("text"))).alias("s")).collect()
+        return {r[key]: set(r.s) for r in rows}
+
+    items, docs = sets("benchmark", "item_id"), sets("documents", "doc_id")
+    want = set()
+    for i, a in items.items():
+        for d, b in docs.items():
+            if a and b:
+                c = round(len(a & b) / ((len(a) ** 0.5) * (len(b) ** 0.5)) * 100 + 1e-12, 2)
+                if c >= 15.0:
+                    want.add((i, d))
+    left = spark.read.parquet(f"{SF0001}/benchmark.parquet").select(F.col("item_id").alias("key"),
+                                                                     F.col("text").alias("content"))
+    right = spark.read.parquet(f"{SF0001}/documents.parquet").select(F.col("doc_id").alias("key"),
+                                                                      F.col("text").alias("content"))
+    got = {(r.main_key, r.sub_key) for r in set_join_rs(left, right, "cosine", 15.0).collect()}
+    assert got == want and len(want) > 0
