@@ -16,6 +16,10 @@ native Spark over these rows.  Parsing uses the standard library's
 ``html.parser``: script/style are raw text, entities are decoded (also cut
 short ones), ``p``/``li``/``dt``/``dd``/``tr``/``td``/``th``/``option`` close
 implicitly, void tags never hold children.
+
+Memory per Python worker is bounded on both sides: input Arrow batches by
+``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default), output by
+yielding the node rows of a few pages at a time.
 """
 
 from __future__ import annotations
