@@ -103,7 +103,8 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
     main_source = corpus if main_corpus is None else main_corpus
 
     sub_feats = document_features(_corpus(corpus, None), [m], "s_", **tok)
-    subs = checks.join(sub_feats, checks.sub_key == sub_feats.s_key, "inner")
+    # left: a requested sub page without a record is reported, not dropped
+    subs = checks.join(sub_feats, checks.sub_key == sub_feats.s_key, "left")
 
     mains = checks.select("check_id", "main_key").distinct()
     keys = _bounded_keys(checks, "main_key", max_broadcast_mains)
@@ -119,7 +120,7 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
     error = F.when(F.col("m_key").isNull() | (F.col("m_error").isNotNull() if check_main_error else F.lit(False)),
                    F.lit(MAIN_NOT_FOUND)) \
         .when(F.col("m_empty"), F.lit(MAIN_EMPTY)) \
-        .when(F.col("s_error").isNotNull(), F.lit(PAGE_NOT_FOUND))
+        .when(F.col("s_error").isNotNull() | F.col("s_key").isNull(), F.lit(PAGE_NOT_FOUND))
     out = pairs.select(
         "check_id",
         "sub_key",

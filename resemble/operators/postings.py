@@ -80,11 +80,12 @@ def one_vs_many_postings(checks: DataFrame, corpus: DataFrame, metric: str = "co
     sizes = doc_sets.select(F.col("key").alias("sub_key"), F.size("s").alias("sn"))
     errors = corpus.select(F.col("key").alias("sub_key"), F.col("error").alias("s_error"))
     meta = main_meta if keys is None else F.broadcast(main_meta)
-    pairs = checks.join(sizes, "sub_key").join(errors, "sub_key").join(meta, "check_id") \
+    known = sizes.join(errors, "sub_key").withColumn("s_known", F.lit(True))
+    pairs = checks.join(known, "sub_key", "left").join(meta, "check_id") \
         .join(inter, ["check_id", "sub_key"], "left")
     error = F.when(F.col("m_missing") | F.col("m_error").isNotNull(), F.lit("Main page not found")) \
         .when(F.col("m_empty"), F.lit("Main page is empty")) \
-        .when(F.col("s_error").isNotNull(), F.lit("Page not found"))
+        .when(F.col("s_error").isNotNull() | F.col("s_known").isNull(), F.lit("Page not found"))
     sim = set_similarity(metric, F.coalesce("inter", F.lit(0)), F.col("mn"), F.col("sn"))
     out = pairs.select("check_id", "sub_key", F.when(error.isNull(), sim).cast("double").alias("similarity"),
                        error.alias("error"))

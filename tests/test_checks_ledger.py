@@ -246,3 +246,13 @@ def test_rs_set_join_equals_brute_force(spark):
                                                                       F.col("text").alias("content"))
     got = {(r.main_key, r.sub_key) for r in set_join_rs(left, right, "cosine", 15.0).collect()}
     assert got == want and len(want) > 0
+
+
+def test_missing_sub_page_is_reported(spark):
+    from resemble.operators.postings import one_vs_many_postings
+
+    corpus = _corpus(spark, [("m", "red blue", None), ("s1", "red", None)])
+    checks = spark.createDataFrame([(0, "m", "s1"), (0, "m", "gone")], "check_id int, main_key string, sub_key string")
+    for fn in (ck.one_vs_many, one_vs_many_postings):
+        got = {r.sub_key: (r.similarity, r.error) for r in fn(checks, corpus, "jaccard").collect()}
+        assert got == {"s1": (50.0, None), "gone": (None, "Page not found")}
