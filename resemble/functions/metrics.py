@@ -171,6 +171,9 @@ def _prepare_fuzzy(df: DataFrame, keys: list[str], tokens: str, prefix: str) ->
 
 
 def _prepare_simhash(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
+    from resemble.session import materialize
+
+    df = materialize(df)  # read twice below (aggregate and join back): tokenise once
     fps = simhash_fingerprints(df.select(*keys, tokens), keys, tokens, out=prefix + "fp").drop(prefix + "fp_n")
     with_n = df.withColumn(prefix + "n", F.size(F.col(tokens)))
     return with_n.join(fps, on=keys, how="left")

@@ -164,7 +164,7 @@ def cross_check(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
             F.struct(F.lit("13").alias("pair"), F.col("key_1").alias("left_key"), F.col("key_3").alias("right_key")),
         )).alias("p"),
     ).select("check_id", "p.*")
-    left = document_features(_corpus(corpus, None), [m], "l_", **tok)
+    left = materialize(document_features(_corpus(corpus, None), [m], "l_", **tok))  # both sides read it
     right = left.select(*[F.col(c).alias("r_" + c[2:]) for c in left.columns])
     joined = pairs.join(left, pairs.left_key == left.l_key, "left").join(right, pairs.right_key == right.r_key, "left")
     missing = F.lit("missing")
