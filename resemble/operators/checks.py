@@ -12,9 +12,9 @@ Plan shape of :func:`one_vs_many`
 ---------------------------------
 * Tokens and metric features are computed once per document (narrow).
 * Sub side: ``checks ⋈ features`` on the sub key, a shuffle equi-join.
-* Main side: when the distinct mains are few (checked with a bounded count),
-  their keys go into an ``IN`` list that reaches the Parquet scan, the main
-  features are built from that small read and broadcast to the sub side, so
+* Main side: when the distinct (check, main) rows are few (checked with a
+  bounded count), the main keys go into an ``IN`` list that reaches the Parquet
+  scan, the main features are built from that small read and broadcast to the sub side, so
   the hot key "one main, all subs" never moves through a shuffle.  Otherwise
   a shuffle join on ``check_id`` with AQE skew splitting.
 """
@@ -68,10 +68,10 @@ def document_features(corpus: DataFrame, metrics: list[Metric], prefix: str, uni
         *[F.col(c).alias(prefix + c) if c in ("key", "error", "empty") else F.col(c) for c in cols])
 
 
-def _bounded_keys(df: DataFrame, col: str, limit: int) -> list | None:
-    """Distinct values of ``col`` if there are at most ``limit`` of them, else None."""
-    rows = df.select(col).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else [r[0] for r in rows]
+def _bounded_mains(checks: DataFrame, limit: int) -> list | None:
+    """Main keys, if the distinct ``(check_id, main_key)`` rows (what gets broadcast) are at most ``limit``."""
+    rows = checks.select("check_id", "main_key").distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else sorted({r[1] for r in rows}, key=str)
 
 
 CorpusSource = Union[DataFrame, Callable[[Optional[list]], DataFrame]]
@@ -107,7 +107,7 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
     subs = checks.join(sub_feats, checks.sub_key == sub_feats.s_key, "left")
 
     mains = checks.select("check_id", "main_key").distinct()
-    keys = _bounded_keys(checks, "main_key", max_broadcast_mains)
+    keys = _bounded_mains(checks, max_broadcast_mains)
     if keys is not None:
         main_feats = document_features(_corpus(main_source, keys), [m], "m_", **tok)
         main_side = F.broadcast(mains).join(main_feats, mains.main_key == main_feats.m_key, "left")

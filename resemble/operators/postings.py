@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resemble.functions.tokens import explode_items, with_tokens
-from resemble.operators.checks import MAX_BROADCAST_MAINS, _bounded_keys, rank_results
+from resemble.operators.checks import MAX_BROADCAST_MAINS, _bounded_mains, rank_results
 from resemble.session import materialize
 
 MAX_BROADCAST_POSTINGS = 2_000_000
@@ -65,7 +65,7 @@ def one_vs_many_postings(checks: DataFrame, corpus: DataFrame, metric: str = "co
     ``checks``: ``(check_id, main_key, sub_key)``; ``corpus``: ``(key, content, error)``.
     """
     checks = checks.select("check_id", "main_key", "sub_key").dropDuplicates(["check_id", "main_key", "sub_key"])
-    keys = _bounded_keys(checks, "main_key", max_broadcast_mains)
+    keys = _bounded_mains(checks, max_broadcast_mains)
     main_src = corpus if keys is None else corpus.where(F.col("key").isin(keys))
     mains = checks.select("check_id", "main_key").distinct()
     main_info = mains.join(
