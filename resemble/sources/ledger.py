@@ -114,7 +114,9 @@ def frontier(requests: DataFrame, ledger: DataFrame, asof: dt.datetime | str,
     valid = ledger.where(F.col("crawled_at").isNotNull())
     if ttl_seconds is not None:
         valid = fresh_ledger(valid, asof, ttl_seconds)
-    return requests.select("url").distinct().join(valid.select("url"), "url", "left_anti")
+    # distinct first (partial aggregation): a URL crawled a billion times becomes one row
+    # before the anti join, whose build side AQE could not split
+    return requests.select("url").distinct().join(valid.select("url").distinct(), "url", "left_anti")
 
 
 def upsert(ledger: DataFrame, fresh: DataFrame) -> DataFrame:
