@@ -128,6 +128,8 @@ def _parse_css(selector: str) -> tuple[list[dict], list[str]]:
         if not m:
             raise ValueError("unsupported CSS selector: %r" % selector)
         c = {"tag": (m.group("tag") or "*").lower(), "ids": [], "classes": [], "attrs": [], "nth": None}
+        if "".join(x.group(0) for x in _CSS_PART.finditer(m.group("rest"))) != m.group("rest"):
+            raise ValueError("unsupported CSS selector: %r" % selector)
         for dot, name, attr, val in _CSS_PART.findall(m.group("rest")):
             if dot == "#":
                 c["ids"].append(name)
@@ -155,6 +157,8 @@ def _parse_xpath(selector: str) -> tuple[list[dict], list[str], bool]:
         if not m:
             raise ValueError("unsupported XPath step: %r" % step)
         c = {"tag": m.group("tag").lower(), "ids": [], "classes": [], "attrs": [], "nth": None, "exact": True}
+        if "".join(x.group(0) for x in _XPATH_PRED.finditer(m.group("preds"))) != m.group("preds"):
+            raise ValueError("unsupported XPath predicate in %r" % step)
         for attr, val, n in _XPATH_PRED.findall(m.group("preds")):
             if n:
                 c["nth"] = int(n)

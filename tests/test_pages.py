@@ -69,3 +69,30 @@ def test_quirk_options(spark):
     assert P.page_meta(nodes, meta_property=True).first().description == "P"
     assert P.extract(pages, "selective", "p").first().content == ""
     assert P.extract(pages, "selective", "p", fallback_after_extract=True).first().content == "http://a.com/"
+
+
+def test_selector_forms(spark):
+    html = ('<html><body><div id="m" class="box wide"><p>one</p><section><p>two</p></section></div>'
+            '<ul><li>a</li><li data-x="1">b</li><li>c</li></ul><p>three</p></body></html>')
+    pages = spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string")
+    nodes = P.page_nodes(pages)
+
+    def sel(s, t="css"):
+        return P.selective(pages, s, t, nodes).first().content
+
+    assert sel("div p") == "one two "
+    assert sel("div > p") == "one "
+    assert sel("#m section p") == "two "
+    assert sel(".wide > section") == "two "
+    assert sel("li[data-x]") == "b "
+    assert sel("li[data-x=1]") == "b "
+    assert sel("//ul/li[2]", "xpath") == "b "
+    assert sel("/html/body/p", "xpath") == "three "
+    assert sel("//div[@class='box wide']//p", "xpath") == "one two "
+    assert sel("//nav", "xpath") == ""
+
+
+def test_selector_errors():
+    for bad, kind in [("", "css"), ("a:hover", "css"), ("//a[last()]", "xpath"), ("p", "jquery")]:
+        with pytest.raises(ValueError):
+            P.selector_predicate(bad, kind)
