@@ -256,3 +256,14 @@ def test_missing_sub_page_is_reported(spark):
     for fn in (ck.one_vs_many, one_vs_many_postings):
         got = {r.sub_key: (r.similarity, r.error) for r in fn(checks, corpus, "jaccard").collect()}
         assert got == {"s1": (50.0, None), "gone": (None, "Page not found")}
+
+
+def test_user_metric(spark):
+    from resemble.functions import metrics as M
+
+    M.register_metric(M.Metric("shared", M._prepare_set,
+                               lambda l, r: F.size(F.array_intersect(F.col(l + "set"), F.col(r + "set"))), ("set",)))
+    corpus = _corpus(spark, [("m", "a b c", None), ("s1", "a b", None), ("s2", "z", None)])
+    checks = spark.createDataFrame([(0, "m", "s1"), (0, "m", "s2")], "check_id int, main_key string, sub_key string")
+    got = {r.sub_key: (r.similarity, r.rank) for r in ck.one_vs_many(checks, corpus, "shared").collect()}
+    assert got == {"s1": (2.0, 1), "s2": (0.0, 2)}
