@@ -53,21 +53,21 @@ def _joined(arr_col, sep: str = "\n"):
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised words of every document (no stemming)."""
     docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t")
-    return docs.select("doc_id", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
 @query
 def word_ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 1..3-grams of every document."""
     docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t", "word", 1, 3)
-    return docs.select("doc_id", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
 @query
 def char_ngrams_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: character 2..3-grams of every benchmark item."""
     items = tk.with_tokens(table(spark, sf_dir, "benchmark"), "text", "t", "character", 2, 3)
-    return items.select("item_id", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+    return items.select("item_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
 # --- one-vs-many ------------------------------------------------------------
@@ -167,7 +167,7 @@ def cross_check_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed words of every document."""
     docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t", stem=True)
-    return docs.select("doc_id", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
 @query
@@ -513,4 +513,4 @@ def page_extract_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resemble.operators.pages import extract
 
     out = tk.with_tokens(extract(pages_table(spark, sf_dir), "dragnet"), "content", "t")
-    return out.select("page_id", "url", "content", F.size("t").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+    return out.select("page_id", "url", "content", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
