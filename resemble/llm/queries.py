@@ -6,9 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resemble.llm.decontaminate import find_benchmark, judged
+from resemble.llm.linededup import dedup_lines
+from resemble.llm.mixing import mix_counts
+from resemble.llm.neardup import near_groups
 from resemble.sources.tables import read_table
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = near_groups(docs, width=3, percent=85)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judged(find_benchmark(docs, read_table(spark, sf_dir, "benchmark", spread_text=False)))
@@ -18,5 +36,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_source_mixing": op7_source_mixing,
+    "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
