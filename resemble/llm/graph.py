@@ -24,6 +24,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+#: rows of a stored table that may be broadcast: a few columns, so some MB
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint where it is counted to be small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _state(edges: DataFrame) -> tuple:
     """Count and hash sum of the edges; equal before and after a round once all stars are done."""
     row = edges.agg(F.count(F.lit(1)).alias("n"),

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resemble.llm.graph import stored
+from resemble.llm.graph import small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -39,7 +39,6 @@ SEED = 20_240
 BLOCK_DOCS = 64
 MAX_BLOCKS = 1_024
 SHARDS = 16
-BROADCAST_ROWS = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -91,11 +90,6 @@ def _split_units(units: DataFrame, shards: int, seed: int) -> DataFrame:
     return out.withColumnRenamed("_node", "shard")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the stored table is counted to be small; else a plain join, which adaptive execution splits."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def mix_plan(rows: DataFrame, id_col: str, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
              shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From ``(id, _src, _size, _h)`` rows: the source, block and cut-document tables of the mix."""
@@ -110,7 +104,7 @@ def mix_plan(rows: DataFrame, id_col: str, weights=WEIGHTS, share: float = SHARE
         F.when(F.col("words") > 0, F.floor(quota / F.col("words"))).otherwise(0).cast("long").alias("_full"),
         F.when(F.col("words") > 0, quota % F.col("words")).otherwise(0).cast("long").alias("_rest")))
     blocks = placed(rows, sources).groupBy("_src", "_block").agg(F.sum("_size").alias("_words"))
-    blocks = blocks.where("_words > 0").join(_small(sources), "_src")
+    blocks = blocks.where("_words > 0").join(small(sources), "_src")
     order = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed), "_src", "_block"), "_block")
     blocks = blocks.withColumn("_before", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_words"))
     # words of the pass after the whole ones that this block may give
@@ -128,7 +122,7 @@ def mix_plan(rows: DataFrame, id_col: str, weights=WEIGHTS, share: float = SHARE
     plan = stored(blocks.join(takes, ["_src", "_block"], "left").select(
         "_src", "_block", "_takes", F.col("_give").alias("_give"), (F.col("_give") < F.col("_words")).alias("_cut")))
     cut = plan.where("_cut and _give > 0").select("_src", "_block", "_give")
-    near = placed(rows, sources).join(_small(cut), ["_src", "_block"])
+    near = placed(rows, sources).join(small(cut), ["_src", "_block"])
     near = near.groupBy("_src", "_block", "_give", "_h", id_col).agg(F.min("_size").alias("_size"), F.count(F.lit(1)).alias("_c"))
     inside = Window.partitionBy("_src", "_block").orderBy("_h", id_col)
     taken_before = F.sum(F.col("_size") * F.col("_c")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size") * F.col("_c")
@@ -140,17 +134,17 @@ def mix_plan(rows: DataFrame, id_col: str, weights=WEIGHTS, share: float = SHARE
 
 def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with their block."""
-    return rows.join(_small(sources.select("_src", "_blocks")), "_src").withColumn(
+    return rows.join(small(sources.select("_src", "_blocks")), "_src").withColumn(
         "_block", F.pmod(F.shiftrightunsigned("_h", 16), F.col("_blocks")).cast("int"))
 
 
 def _apply(rows: DataFrame, id_col: str, plan: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """``rows`` with ``source_size``, ``target`` and ``takes`` (pass, shard, words of each taking)."""
     sources, blocks, cut_docs = plan
-    out = placed(rows, sources).join(_small(sources.select("_src", "source_size", "target", "_full")), "_src")
-    out = out.join(_small(blocks), ["_src", "_block"], "left")
+    out = placed(rows, sources).join(small(sources.select("_src", "source_size", "target", "_full")), "_src")
+    out = out.join(small(blocks), ["_src", "_block"], "left")
     cut = cut_docs.withColumnsRenamed({"_src": "_s", "_block": "_b", "_h": "_hh"})
-    out = out.join(_small(cut), (F.col("_src") == F.col("_s")) & (F.col("_block") == F.col("_b"))
+    out = out.join(small(cut), (F.col("_src") == F.col("_s")) & (F.col("_block") == F.col("_b"))
                    & (F.col("_h") == F.col("_hh")) & F.col(id_col).eqNullSafe(F.col("_cut_id")), "left")
     last = F.when(F.col("_cut"), F.coalesce("_part", F.lit(0))).otherwise(F.col("_size"))
     takes = F.transform(F.coalesce("_takes", F.array().cast("array<struct<_pass:bigint,shard:int>>")), lambda t: F.struct(

@@ -2,6 +2,31 @@
 
 ORACLE = {}
 
+ORACLE["op2_chat_perspectives"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS s, replace(coalesce(text, ''), '<|im_', '<| im_') AS x FROM conversations),
+p AS (SELECT DISTINCT conv_id AS c, s AS perspective FROM t WHERE s <> 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN s = 'system' THEN s WHEN s = perspective THEN 'assistant' ELSE 'user' END AS role
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.c),
+n AS (SELECT *, CASE WHEN role = 'user' THEN regexp_replace(s, '[^A-Za-z0-9_-]', '_', 'g') END AS name FROM r),
+h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM n),
+g AS (SELECT *, head || x || '<|im_end|>' || chr(10) AS segment FROM h)
+SELECT conv_id, perspective, turn, role, name, segment,
+       CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END::BIGINT AS mask_start,
+       CASE WHEN role = 'assistant' THEN length(segment) - 1 ELSE 0 END::BIGINT AS mask_end FROM g
+"""
+
+ORACLE["op3_url_bloom_cascade"] = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+             ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+x AS (SELECT u.*, (SELECT max_by({'rule': r.h || r.p, 'verdict': r.verdict}, length(r.h || r.p)) FROM r
+        WHERE (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)) AS m FROM u)
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN list_has_any(string_split_regex(host, '[.-]'),
+    ['adult', 'bets', 'casino', 'pills', 'poker', 'porn', 'spam', 'xxx']) THEN 'block' ELSE 'allow' END) AS verdict FROM x
+"""
+
 ORACLE["op8_minhash_near_dedup"] = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
