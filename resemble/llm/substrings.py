@@ -43,7 +43,7 @@ SPREAD_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 SLICE_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -52,8 +52,8 @@ def _gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
     size, base = 1, _BASE
     while size * 2 <= width:
         h = powers[size]
-        powers[size * 2] = h[:-size] * base + h[size:]
-        size, base = size * 2, base * base
+        powers[size * 2] = h[:-size] * np.uint64(base) + h[size:]
+        size, base = size * 2, base * base % (1 << 64)
     out, done = None, 0
     for size in sorted(powers, reverse=True):
         if done + size <= width:
