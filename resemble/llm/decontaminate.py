@@ -23,6 +23,7 @@ the added ones are replaced.
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -77,21 +78,17 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class _Block:
+def _block(rows: list) -> SimpleNamespace:
     """One block of windows as symbol rows, right-aligned; symbol = rank of the word's hash + 1."""
-
-    def __init__(self, rows: list):
-        lengths = np.array([len(w) for w, _ in rows], np.int64)
-        flat = _hash_words([x for w, _ in rows for x in w])
-        self.vocab = np.unique(flat)
-        symbols = np.searchsorted(self.vocab, flat) + 1
-        wide = int(lengths.max()) if len(rows) else 1
-        self.patterns = np.zeros((len(rows), wide), np.int64)
-        col = np.concatenate([np.arange(wide - k, wide) for k in lengths]) if len(rows) else np.zeros(0, np.int64)
-        self.patterns[np.repeat(np.arange(len(rows)), lengths), col] = symbols
-        self.lengths = lengths
-        self.shortest = int(lengths.min()) if len(rows) else 1
-        self.items = [i for _, i in rows]
+    lengths = np.array([len(w) for w, _ in rows], np.int64)
+    flat = _hash_words([x for w, _ in rows for x in w])
+    vocab = np.unique(flat)
+    wide = int(lengths.max()) if len(rows) else 1
+    patterns = np.zeros((len(rows), wide), np.int64)
+    col = np.concatenate([np.arange(wide - k, wide) for k in lengths]) if len(rows) else np.zeros(0, np.int64)
+    patterns[np.repeat(np.arange(len(rows)), lengths), col] = np.searchsorted(vocab, flat) + 1
+    return SimpleNamespace(vocab=vocab, patterns=patterns, lengths=lengths, items=[i for _, i in rows],
+                           shortest=int(lengths.min()) if len(rows) else 1)
 
 
 def _runs(symbols: np.ndarray, doc: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +111,7 @@ def _runs(symbols: np.ndarray, doc: np.ndarray, shortest: int) -> tuple[np.ndarr
     return seq, word
 
 
-def _search_shard(block: _Block, data: np.ndarray, offsets: np.ndarray):
+def _search_shard(block: SimpleNamespace, data: np.ndarray, offsets: np.ndarray):
     """Per text of one shard: its number of words, its merged hit spans and the items found."""
     hashes, _, bounds = split_words(data, offsets, ALNUM)
     n_docs = len(offsets) - 1
@@ -171,7 +168,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     kinds = {"n_words": pa.int64(), "hit_spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
              "items": pa.list_(pa.string())}
     for number, rows in enumerate(_blocks(benchmark_windows(benchmark, window), block_bytes)):
-        shared = spark.sparkContext.broadcast(_Block(rows))
+        shared = spark.sparkContext.broadcast(_block(rows))
 
         def step(batches, shared=shared, first=number == 0):
             block = shared.value

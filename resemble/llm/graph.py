@@ -24,8 +24,8 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-#: rows of a stored table that may be broadcast: a few columns, so some MB
-BROADCAST_ROWS = 200_000
+#: rows of a stored table that may be broadcast: a few numbers each, so some tens of MB
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame) -> DataFrame:
