@@ -8,20 +8,19 @@ costs one round at most and the plan does not grow.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resemble.session import ensure_checkpoint_dir
+from resemble.session import checkpoint_dir
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.DISK_ONLY)
-    out = held.checkpoint(eager=True)
-    held.unpersist()
-    return out
+    """``df`` computed once, written as a table to the shared checkpoint folder and read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: rows of a stored table that may be broadcast: a few numbers each, so some tens of MB

@@ -138,8 +138,9 @@ def brute_lines(docs):
     names = list(norms)
     for x in range(len(names)):
         for y in range(x):
-            a, b = names[x], names[y]
-            if keys[a] & keys[b] and distance(a, b) <= max(len(a), len(b)) * 20 // 100:
+            a, b = ([chr(33 + signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) % 94) for w in n.split(" ")] for n in (names[x], names[y]))
+            if keys[names[x]] & keys[names[y]] and distance(a, b) <= max(len(a), len(b)) * 20 // 100:
+                a, b = names[x], names[y]
                 root[find(a)] = find(b)
     groups = {}
     for n, places in norms.items():
