@@ -14,3 +14,10 @@ Layout
 from resemble.session import build_session, checkpoint_dir
 
 __all__ = ["build_session", "checkpoint_dir"]
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to executors with the job, so workers need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

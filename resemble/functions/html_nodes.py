@@ -167,6 +167,14 @@ class _NodeParser(HTMLParser):
                 if self.in_a:
                     self.block_links += len(w)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` with an unknown keyword is skipped up to its ``>`` or the next tag, whichever comes first."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            ends = [e for e in (self.rawdata.find(">", i) + 1, self.rawdata.find("<", i + 3)) if e > 0]
+            return min(ends, default=len(self.rawdata))
+
     def handle_comment(self, data):
         if self.stack:
             self.stack[-1]["_child"] = True
@@ -192,10 +200,7 @@ def parse_page(page_id: int, html: str | None) -> list[dict]:
     if not html:
         return []
     p = _NodeParser(page_id)
-    try:
-        p.feed(html)
-    except Exception:  # the stdlib parser is tolerant; keep what was read
-        pass
+    p.feed(html)
     return p.finish()
 
 

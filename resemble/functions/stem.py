@@ -1,190 +1,98 @@
-"""Suffix-stripping stemmer (T3) and its Arrow-batched column form.
-
-The rules are those of Porter's 1980 paper (steps 1a-5b), with these
-extensions, each a common published variant:
-
-* words of one or two letters are left alone;
-* a two-letter stem vowel+consonant counts as ``*o`` (so ``are`` keeps its e);
-* step 1c turns ``y`` into ``i`` only after a consonant that is not the
-  first letter (``cry`` → ``cri``, ``by`` stays);
-* step 2 also maps ``bli`` → ``ble``, ``logi`` → ``log``, ``fulli`` → ``ful``,
-  ``lessli`` → ``less``;
-* a short list of irregular forms is looked up first.
-
-Stemming runs on executors in a ``pandas_udf`` over whole token arrays, with a
-per-worker memo of stems: text vocabularies are Zipfian, so nearly every call
-is a dictionary hit, and no shuffle of the token stream is needed (a
-vocabulary-join form would shuffle every token twice: by token, then back by
-document).
+"""Suffix-stripping stemmer (T3) as native Column expressions over whole token lists.
+
+Porter's 1980 algorithm (steps 1a to 5b) with the extensions that the pinned
+English stemmer uses: words of one or two letters and a short list of
+irregular forms are left alone; ``ied`` and ``ies`` keep an ``ie`` after one
+letter; a vowel and a consonant alone count as ``*o``; step 1c needs a
+consonant that is not the first letter; ``alli`` is stripped before the other
+rules of step 2, which then run on the result; ``fulli`` becomes ``ful``; the l
+of ``logi`` counts as part of the stem.
+
+The tokens of one text are joined by line feeds and each rule is one regular
+expression over all lines, so no Python runs and no token moves.  The patterns
+use only what Java and RE2 share; the DuckDB twins run the same ones.
+
+Tokens are lower-case, so upper-case letters serve as marks: ``Y`` is a y that
+counts as a consonant, ``S`` stands between a stem and the step's suffix, ``T``
+follows a word that lost ``ed`` or ``ing``, ``U`` a doubled consonant, ``X`` a
+word that is done with this step, ``Z`` one that is done altogether.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
-# The rule tables.
+# The rule tables and the irregular forms of the algorithm.
 # ---------------------------------------------------------------------------
-IRREGULAR = {
-    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie",
-    "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
-    "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
-    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+UNCHANGED = "sky news inning outing canning howe proceed exceed succeed"
+STEP2 = {
+    "ate": "ational ation ator", "tion": "tional", "ence": "enci", "ance": "anci", "ize": "izer ization",
+    "ble": "bli biliti", "al": "alli alism aliti", "ent": "entli", "e": "eli", "ous": "ousli ousness",
+    "ive": "iveness iviti", "ful": "fulness fulli", "log": "logi",
 }
-STEP2 = [
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
-    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
-    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
-    ("logi", "log"), ("fulli", "ful"), ("lessli", "less"),
-]
-STEP3 = [
-    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
-]
-STEP4 = [
-    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
-    "ism", "ate", "iti", "ous", "ive", "ize",
-]
-VOWELS = "aeiou"
+STEP3 = {"ic": "icate iciti ical", "al": "alize", "": "ative ful ness"}
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+DOUBLED = "bcdfghjkmnpqrtvwx0123456789àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
 # ---------------------------------------------------------------------------
 
-
-def _cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in VOWELS:
-        return False
-    if c == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    m, i, n = 0, 0, len(stem)
-    while i < n and _cons(stem, i):
-        i += 1
-    while i < n:
-        while i < n and not _cons(stem, i):
-            i += 1
-        if i >= n:
-            break
-        m += 1
-        while i < n and _cons(stem, i):
-            i += 1
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _cons(stem, i) for i in range(len(stem)))
-
-
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    if len(w) == 2:
-        return not _cons(w, 0) and _cons(w, 1)
-    if len(w) < 3:
-        return False
-    return _cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1) and w[-1] not in "wxy"
-
-
-def _step1ab(w: str) -> str:
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-3] + ("ie" if len(w) == 4 else "i")
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-        return w
-    for suf in ("ed", "ing"):
-        if w.endswith(suf) and _has_vowel(w[: -len(suf)]):
-            w = w[: -len(suf)]
-            if w.endswith(("at", "bl", "iz")):
-                return w + "e"
-            if _double_cons(w) and w[-1] not in "lsz":
-                return w[:-1]
-            if _measure(w) == 1 and _cvc(w):
-                return w + "e"
-            return w
-    return w
-
-
-def _step1c(w: str) -> str:
-    if w.endswith("y") and len(w) > 2 and _cons(w, len(w) - 2):
-        return w[:-1] + "i"
-    return w
-
-
-def _suffix_rules(w: str, rules: list[tuple[str, str]], min_m: int) -> str:
-    best = None
-    for suf, rep in rules:
-        if w.endswith(suf) and (best is None or len(suf) > len(best[0])):
-            best = (suf, rep)
-    if best is not None:
-        stem = w[: -len(best[0])]
-        if _measure(stem) > min_m - 1:
-            return stem + best[1]
-    return w
-
-
-def _step4(w: str) -> str:
-    best = None
-    for suf in STEP4:
-        if w.endswith(suf) and (best is None or len(suf) > len(best)):
-            best = suf
-    if best is None:
-        return w
-    stem = w[: -len(best)]
-    if _measure(stem) > 1:
-        if best == "ion" and not stem.endswith(("s", "t")):
-            return w
-        return stem
-    return w
-
-
-def _step5(w: str) -> str:
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-@lru_cache(maxsize=1 << 18)
-def stem_word(word: str) -> str:
-    """Stem one lower-case word."""
-    if len(word) <= 2:
-        return word
-    if word in IRREGULAR:
-        return IRREGULAR[word]
-    w = _step1ab(word)
-    w = _step1c(w)
-    w = _suffix_rules(w, STEP2, 1)
-    w = _suffix_rules(w, STEP3, 1)
-    w = _step4(w)
-    return _step5(w)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else [stem_word(x) for x in t] for t in tokens])
+A, V, C, K = r"[^\n]", "[aeiouy]", r"[^aeiouy\n]", r"[^aeiouywxY\n]"
+M1 = f"{C}*{V}+{C}"            # a stem that begins so has measure 1 or more
+M2 = f"{C}*{V}+{C}+{V}+{C}"    # measure 2 or more
+
+
+def _either(words: str) -> str:
+    return "|".join(words.split())
+
+
+def _tag(suffixes: str) -> tuple[str, str]:
+    """Mark the longest suffix of the list that ends a line."""
+    return f"({_either(suffixes)})$", "S$1"
+
+
+def stem_steps() -> list[tuple[str, str]]:
+    """``(pattern, replacement)`` pairs in order; patterns are multi-line, ``$1`` is the first group."""
+    steps = [
+        (f"^({A}{{1,2}})$", "$1Z"), (f"^({_either(UNCHANGED)})$", "$1Z"), ("^(inning|outing|canning)s$", "$1Z"),
+        ("^skies$", "skyZ"), ("^([dlt])ying$", "$1ieZ"),
+        ("^y", "Y"), (f"({V})y", "$1Y"),
+        # 1a
+        (f"^({A})ies$", "$1ieX"), ("sses$", "ssX"), ("ies$", "iX"), ("ss$", "ssX"), ("s$", ""), ("X$", ""),
+        # 1b
+        (f"^({A})ied$", "$1ieX"), ("ied$", "iX"), (f"^({M1}{A}*)eed$", "$1eeX"), ("eed$", "eedX"),
+        (f"^({C}*{V}{A}*)(?:ed|ing)$", "$1T"), ("(at|bl|iz)T$", "$1eX"),
+        (f"({'|'.join(c + c for c in DOUBLED)})T$", "$1U"), (f"{A}U$", "X"), ("(ll|ss|zz)T$", "$1X"),
+        (f"^({C}+{V}{K}|{V}{C})T$", "$1eX"), ("[TX]$", ""),
+        # 1c
+        (f"^({A}+{C})y$", "$1i"),
+        # 2
+        (f"^({M1}{A}*)alli$", "$1al"), _tag(" ".join(STEP2.values())),
+    ]
+    for new, old in STEP2.items():
+        stem = f"{C}*{V}+(?:{C}{A}*)?" if new == "log" else f"{M1}{A}*"
+        steps.append((f"^({stem})S(?:{_either(old)})$", "$1" + new))
+    steps += [("S", ""), _tag(" ".join(STEP3.values()))]
+    steps += [(f"^({M1}{A}*)S(?:{_either(old)})$", "$1" + new) for new, old in STEP3.items()]
+    rest = " ".join(s for s in STEP4.split() if s != "ion")
+    steps += [
+        ("S", ""), _tag(STEP4), (f"^({M2}{A}*)S(?:{_either(rest)})$", "$1"),
+        (f"^({C}*{V}+{C}+{V}+(?:{C}{A}*)?[st])Sion$", "$1"), ("S", ""),
+        # 5a, 5b
+        (f"^({M2}{A}*)e$", "$1X"), (f"^({A}*{C}{V}{K}e|{V}{C}e)$", "$1X"), (f"^({M1}{C}*{V}*)e$", "$1X"), ("X$", ""),
+        (f"^({C}*{V}+{C}+{V}+(?:{C}{A}*)?l)l$", "$1"),
+        ("Z$", ""),
+    ]
+    return steps
+
+
+def stem_lines(lines: Column) -> Column:
+    """Stem each line of a string of lower-case tokens."""
+    for pattern, new in stem_steps():
+        lines = F.regexp_replace(lines, "(?md)" + pattern, new)
+    return F.lower(lines)
 
 
 def stem_tokens(tokens: Column) -> Column:
     """Stem every token of an ``array<string>`` column; empty stems are dropped."""
-    return F.array_remove(_stem_arrays(tokens), "")
+    return F.array_remove(F.split(stem_lines(F.array_join(tokens, "\n")), "\n"), "")

@@ -2,7 +2,7 @@
 
 The word splitter is a chain of ``regexp_replace`` calls over the whole text
 followed by one ``split``: everything stays inside whole-stage codegen, and no
-per-token Python runs unless stemming is asked for (see ``stem.py``).
+Python runs; stemming (``stem.py``) is a further chain of the same kind.
 
 The patterns use only the regex features that Java and RE2 share (classes,
 alternation, groups, ``^``/``$``; no look-around), so that the DuckDB twins in
@@ -67,19 +67,20 @@ def regex_steps() -> list[tuple[str, str]]:
 
 
 def clamp_ngram(unit: str = "word", min_ngram: int = 1, max_ngram: int = 1) -> tuple[str, int, int]:
-    """clamp the n-gram range in the reference's order; unknown unit -> word."""
-    min_ngram, max_ngram = int(min_ngram), int(max_ngram)
-    if max_ngram < 1:
-        max_ngram = 1
-    if max_ngram > MAX_NGRAM:
-        max_ngram = MAX_NGRAM
-    if min_ngram < 1:
-        min_ngram = 1
-    if max_ngram < min_ngram:
-        max_ngram = min_ngram
-    if unit not in UNITS:
-        unit = "word"
-    return unit, min_ngram, max_ngram
+    """bounds of the n-gram range, 1 to ``MAX_NGRAM``, low end first; unknown unit -> word."""
+    low = max(int(min_ngram), 1)
+    high = max(min(max(int(max_ngram), 1), MAX_NGRAM), low)
+    return unit if unit in UNITS else UNITS[0], low, high
+
+
+def decode_utf8(raw: Column) -> Column:
+    """Bytes as text, bad bytes dropped.
+
+    Valid bytes are taken as they are; in others each bad sequence becomes
+    U+FFFD, which is then removed together with any that the bytes spelt out.
+    """
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def clean_text(text: Column) -> Column:
@@ -149,8 +150,8 @@ def char_ngrams(tokens: Column, min_ngram: int, max_ngram: int) -> Column:
 
 
 def with_tokens(df: DataFrame, text: str | Column, out: str, unit: str = "word", min_ngram: int = 1,
-                max_ngram: int = 1, stem: bool = False) -> DataFrame:
-    """Full ``tokenize_and_normalize_content`` as a new column ``out``.
+                max_ngram: int = 1, stem: bool = True) -> DataFrame:
+    """Tokens of a text as the comparisons use them, as a new column ``out``: split, normalised, stemmed, n-grams.
 
     Parameters are clamped by :func:`clamp_ngram` first, as the reference does.
     Words are materialised in their own projection before the n-gram lambdas

@@ -21,7 +21,7 @@ Plan shape of :func:`one_vs_many`
 
 from __future__ import annotations
 
-from typing import Callable, Optional, Union
+from typing import Callable, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +58,7 @@ def corpus_from(df: DataFrame, key: str, content: str, error: str | None = None)
 
 
 def document_features(corpus: DataFrame, metrics: list[Metric], prefix: str, unit: str = "word",
-                      min_ngram: int = 1, max_ngram: int = 1, stem: bool = False) -> DataFrame:
+                      min_ngram: int = 1, max_ngram: int = 1, stem: bool = True) -> DataFrame:
     """Per-document ``(key, error, empty, <features>)``, tokenised once."""
     base = corpus.select(F.col("key"), F.col("error"), (F.col("content") == "").alias("empty"), "content")
     toks = with_tokens(base, "content", "_tokens", unit, min_ngram, max_ngram, stem).drop("content")
@@ -74,19 +74,28 @@ def _bounded_mains(checks: DataFrame, limit: int) -> list | None:
     return None if len(rows) > limit else sorted({r[1] for r in rows}, key=str)
 
 
-CorpusSource = Union[DataFrame, Callable[[Optional[list]], DataFrame]]
+CorpusSource = Union[DataFrame, Callable[[Union[DataFrame, list]], DataFrame]]
 
 
-def _corpus(source: CorpusSource, keys: list | None) -> DataFrame:
-    """A corpus restricted to ``keys`` (None: all).  A callable source gets the
-    keys itself, so it can filter raw input before an expensive stage."""
+def _corpus(source: CorpusSource, keys: DataFrame | list) -> DataFrame:
+    """A corpus restricted to ``keys``: a short list, or a distinct ``key`` column.
+
+    A callable source gets the keys itself, so it can filter raw input before
+    an expensive stage.  The semi join runs before anything is tokenised.
+    """
     if callable(source):
         return source(keys)
-    return source if keys is None else source.where(F.col("key").isin(keys))
+    return source.where(F.col("key").isin(keys)) if isinstance(keys, list) else source.join(keys, "key", "left_semi")
+
+
+def _keys(checks: DataFrame, *columns: str) -> DataFrame:
+    """Distinct keys that the checks name in ``columns``."""
+    out = checks.select(F.explode(F.array(*columns)).alias("key")) if len(columns) > 1 else checks.select(F.col(columns[0]).alias("key"))
+    return out.where(F.col("key").isNotNull()).distinct()
 
 
 def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "cosine", unit: str = "word",
-                min_ngram: int = 1, max_ngram: int = 1, stem: bool = False, check_main_error: bool = True,
+                min_ngram: int = 1, max_ngram: int = 1, stem: bool = True, check_main_error: bool = True,
                 sort: bool = True, max_broadcast_mains: int = MAX_BROADCAST_MAINS,
                 main_corpus: CorpusSource | None = None) -> DataFrame:
     """Each check's main document against each of its distinct sub documents.
@@ -102,7 +111,7 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
     checks = checks.select("check_id", "main_key", "sub_key").dropDuplicates(["check_id", "main_key", "sub_key"])
     main_source = corpus if main_corpus is None else main_corpus
 
-    sub_feats = document_features(_corpus(corpus, None), [m], "s_", **tok)
+    sub_feats = document_features(_corpus(corpus, _keys(checks, "sub_key")), [m], "s_", **tok)
     # left: a requested sub page without a record is reported, not dropped
     subs = checks.join(sub_feats, checks.sub_key == sub_feats.s_key, "left")
 
@@ -113,7 +122,7 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
         main_side = F.broadcast(mains).join(main_feats, mains.main_key == main_feats.m_key, "left")
         pairs = subs.join(F.broadcast(main_side.drop("main_key")), on="check_id", how="inner")
     else:
-        main_feats = document_features(_corpus(main_source, None), [m], "m_", **tok)
+        main_feats = document_features(_corpus(main_source, _keys(checks, "main_key")), [m], "m_", **tok)
         main_side = mains.join(main_feats, mains.main_key == main_feats.m_key, "left")
         pairs = subs.join(main_side.drop("main_key"), on="check_id", how="inner")
 
@@ -147,7 +156,7 @@ def _pair_error(left_err: Column, left_key: Column, right_err: Column, right_key
 
 
 def cross_check(checks: DataFrame, corpus: CorpusSource, metric: str | None = "cosine", unit: str = "word",
-                min_ngram: int = 1, max_ngram: int = 1, stem: bool = False) -> DataFrame:
+                min_ngram: int = 1, max_ngram: int = 1, stem: bool = True) -> DataFrame:
     """Three keys per check, pairs 12, 23, 13 in that order.
 
     ``checks``: ``(check_id, key_1, key_2, key_3)``.  Long result
@@ -164,7 +173,7 @@ def cross_check(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
             F.struct(F.lit("13").alias("pair"), F.col("key_1").alias("left_key"), F.col("key_3").alias("right_key")),
         )).alias("p"),
     ).select("check_id", "p.*")
-    left = materialize(document_features(_corpus(corpus, None), [m], "l_", **tok))  # both sides read it
+    left = materialize(document_features(_corpus(corpus, _keys(checks, "key_1", "key_2", "key_3")), [m], "l_", **tok))  # both sides read it
     right = left.select(*[F.col(c).alias("r_" + c[2:]) for c in left.columns])
     joined = pairs.join(left, pairs.left_key == left.l_key, "left").join(right, pairs.right_key == right.r_key, "left")
     missing = F.lit("missing")
@@ -201,7 +210,7 @@ def _row_features(df: DataFrame, keys: list[str], text_col: str, prefix: str, me
 
 
 def content_metrics(df: DataFrame, key: str, texts: list[str], metrics: str | list[str] | None = None,
-                    unit: str = "word", min_ngram: int = 1, max_ngram: int = 1, stem: bool = False) -> DataFrame:
+                    unit: str = "word", min_ngram: int = 1, max_ngram: int = 1, stem: bool = True) -> DataFrame:
     """Row-wise texts, every column pair i<j, every chosen metric.
 
     Returns ``(key, pair, ord, metric, similarity, error)``: one row per pair and
@@ -236,7 +245,7 @@ def distance_column_names(columns: list[str]) -> list[str]:
 
 
 def pairwise_columns(table: DataFrame, metric: str | None = "cosine", unit: str = "word", min_ngram: int = 1,
-                     max_ngram: int = 1, stem: bool = False, row_key: str | None = None) -> DataFrame:
+                     max_ngram: int = 1, stem: bool = True, row_key: str | None = None) -> DataFrame:
     """The batch job. Every content column tokenised once, one distance column per pair.
 
     ``table``: string columns only (S1-S3); ``row_key`` names a column that is

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from resemble.functions.html_nodes import NODE_SCHEMA, nodes_of_batches
 from resemble.functions.urltext import join_parts, url_text
+from resemble.session import materialize
 
 # ---------------------------------------------------------------------------
 # Extractor names (the first is the default), selector types,
@@ -332,7 +333,8 @@ def extract(pages: DataFrame, method: str = "dragnet", selector: str | None = No
     if method not in EXTRACTORS and method not in _USER_EXTRACTORS:
         raise ValueError("The extractor name '%s' does not support yet" % method)
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    nodes = page_nodes(pages.where(F.col("html") != ""))
+    # every recipe reads the nodes more than once: parse once
+    nodes = materialize(page_nodes(pages.where(F.col("html") != "")))
     if method in _USER_EXTRACTORS:
         out = _USER_EXTRACTORS[method](pages, nodes).select("page_id", "url", "content")
     elif method == "all_text":

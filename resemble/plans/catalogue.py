@@ -52,21 +52,21 @@ def _joined(arr_col, sep: str = "\n"):
 @query
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised words of every document (no stemming)."""
-    docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t")
+    docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t", stem=False)
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
 @query
 def word_ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word 1..3-grams of every document."""
-    docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t", "word", 1, 3)
+    """Word 1..3-grams of every document (no stemming)."""
+    docs = tk.with_tokens(table(spark, sf_dir, "documents"), "text", "t", "word", 1, 3, stem=False)
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
 @query
 def char_ngrams_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: character 2..3-grams of every benchmark item."""
-    items = tk.with_tokens(table(spark, sf_dir, "benchmark"), "text", "t", "character", 2, 3)
+    """T5: character 2..3-grams of every benchmark item (no stemming)."""
+    items = tk.with_tokens(table(spark, sf_dir, "benchmark"), "text", "t", "character", 2, 3, stem=False)
     return items.select("item_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
 
 
@@ -84,6 +84,38 @@ def jaccard_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ck.one_vs_many(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "jaccard")
 
 
+@query
+def cosine_one_vs_many_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 M1 W3 on plain words, for callers that turn stemming off."""
+    return ck.one_vs_many(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "cosine", stem=False)
+
+
+def checks_per_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One check per source, its lowest document against all of its documents; documents in one language stand
+    for failed pages and those of one source for blank ones."""
+    docs = table(spark, sf_dir, "documents")
+    corpus = docs.select(
+        F.col("doc_id").alias("key"), F.when(F.col("source") == "src3", F.lit("")).otherwise(F.col("text")).alias("content"),
+        F.when(F.col("lang") == "es", F.lit("Crawling error: Not Found")).alias("error"))
+    mains = docs.groupBy(F.col("source").alias("check_id")).agg(F.min("doc_id").alias("main_key"))
+    checks = docs.select(F.col("source").alias("check_id"), F.col("doc_id").alias("sub_key")).join(mains, "check_id")
+    return checks, ck.corpus_from(corpus, "key", "content", "error")
+
+
+@query
+def error_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks whose main or sub pages failed or are blank."""
+    checks, corpus = checks_per_source(spark, sf_dir)
+    return ck.one_vs_many(checks, corpus, "jaccard")
+
+
+@query
+def clamped_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown unit and a reversed, negative range fall back to single words."""
+    items = tk.with_tokens(table(spark, sf_dir, "benchmark"), "text", "t", "sentence", -3, 0, stem=False)
+    return items.select("item_id", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+
+
 @query
 def simhash_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document against all documents, 100 − simhash distance."""
@@ -102,52 +134,61 @@ QUERIES["simhash_fingerprints"] = QUERIES.pop("simhash_fingerprints_q")
 
 # --- pairs, triples, cross checks, batch columns ------------------------------
 
-def _turn(conv: DataFrame, offset: int, role: str, name: str) -> DataFrame:
-    return conv.where(F.col("role") == role).select(
-        "conv_id", (F.col("turn") - offset).alias("turn"), F.col("text").alias(name))
+def _turn(conv: DataFrame, offset: int, name: str) -> DataFrame:
+    return conv.select("conv_id", (F.col("turn") - offset).alias("turn"), F.col("text").alias(name))
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content pairs: a user turn and the assistant turn right after it."""
+    """Content pairs: every turn and the next one."""
     conv = table(spark, sf_dir, "conversations")
-    pairs = _turn(conv, 0, "user", "content_1").join(_turn(conv, 1, "assistant", "content_2"), ["conv_id", "turn"])
+    pairs = _turn(conv, 0, "content_1").join(_turn(conv, 1, "content_2"), ["conv_id", "turn"])
     return pairs.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2")
 
 
 def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content triples: user turn, assistant reply, next user turn."""
+    """Content triples: every turn and the two after it."""
     conv = table(spark, sf_dir, "conversations")
-    t = (_turn(conv, 0, "user", "content_1")
-         .join(_turn(conv, 1, "assistant", "content_2"), ["conv_id", "turn"])
-         .join(_turn(conv, 2, "user", "content_3"), ["conv_id", "turn"]))
+    t = (_turn(conv, 0, "content_1")
+         .join(_turn(conv, 1, "content_2"), ["conv_id", "turn"])
+         .join(_turn(conv, 2, "content_3"), ["conv_id", "turn"]))
     return t.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2", "content_3")
 
 
+MAX_COLUMNS = 64
 PAIR_METRICS = "jaccard, Cosine, simhash, levenshtein"
 
 
 @query
 def content_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user/assistant turn pairs, several metrics in request order, one unknown name."""
+    """Every turn against the next, several metrics in request order, one unknown name."""
     return ck.content_metrics(conversation_pairs(spark, sf_dir), "pair_id", ["content_1", "content_2"], PAIR_METRICS)
 
 
 @query
 def content_triple_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user/assistant/user triples, pairs 12, 23, 13, several metrics."""
+    """Three turns in a row, pairs 12, 23, 13, several metrics."""
     return ck.content_metrics(conversation_triples(spark, sf_dir), "pair_id",
                               ["content_1", "content_2", "content_3"], PAIR_METRICS)
 
 
 @query
 def batch_pairwise_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns of each conversation as content columns, cosine per column pair."""
+    """All turns of each conversation as content columns, cosine per column pair, one row a pair.
+
+    The turns that occur make the columns; a table of more than ``MAX_COLUMNS`` is no batch table.
+    """
     from resemble.sources.content import content_table
 
     conv = table(spark, sf_dir, "conversations")
-    wide = conv.groupBy("conv_id").pivot("turn", [0, 1, 2]).agg(F.first("text"))
-    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"content{i + 1}") for i in range(3)])
-    return ck.pairwise_columns(content_table(wide, key="conv_id"), "cosine", row_key="conv_id")
+    turns = [r[0] for r in conv.select("turn").distinct().orderBy("turn").limit(MAX_COLUMNS + 1).collect()]
+    if len(turns) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} content columns")
+    wide = conv.groupBy("conv_id").pivot("turn", turns).agg(F.min("text"))
+    wide = wide.select("conv_id", *[F.col(f"`{t}`").alias(f"content{t}") for t in turns])
+    out = ck.pairwise_columns(content_table(wide, key="conv_id"), "cosine", row_key="conv_id")
+    names = ck.distance_column_names([f"content{t}" for t in turns])
+    return out.select("conv_id", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("pair"), F.col(f"`{n}`").alias("similarity")) for n in names])).alias("p")).select("conv_id", "p.*")
 
 
 @query
@@ -187,8 +228,13 @@ def page_corpus(pages: DataFrame, method: str = "dragnet", selector: str | None
     from resemble.operators.pages import extract
 
     def build(keys):
-        src = pages if keys is None else pages.where(F.col("url").isin(keys))
-        out = extract(src, method, selector, selector_type)
+        if isinstance(keys, list):
+            src = pages.where(F.col("url").isin(keys))
+        else:
+            src = pages.join(keys.withColumnRenamed("key", "url"), "url", "left_semi")
+        # a URL that was fetched more than once counts with its first page
+        first = src.groupBy("url").agg(F.min("page_id").alias("page_id"))
+        out = extract(src.join(first, ["url", "page_id"], "left_semi"), method, selector, selector_type)
         return ck.corpus_from(out, "url", "content")
 
     return build
@@ -206,9 +252,10 @@ def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_titles_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, meta description and keywords of every page."""
     from resemble.operators.pages import meta_parts, page_nodes
+    from resemble.session import materialize
 
     pages = pages_table(spark, sf_dir)
-    return meta_parts(pages, page_nodes(pages)).select("page_id", "title", "description", "keywords")
+    return meta_parts(pages, materialize(page_nodes(pages))).select("page_id", "title", "description", "keywords")
 
 
 def _extract_query(method: str, selector: str | None = None, selector_type: str = "css"):
@@ -252,7 +299,6 @@ def page_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- URL lists, fetch responses, ledger, replay, jobs ---------------------------------
 
-LEDGER_ASOF = "2024-01-10 00:00:00"
 LEDGER_TTL = 86_400
 REPLAY_TTL = 86_400
 
@@ -269,7 +315,8 @@ def url_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetch responses stood in by pages: no closing html → 404, no closing body → page timeout flag."""
+    """Fetch responses stood in by pages: no closing html → 404, a query in the address → page timeout flag,
+    a fragment → read timeout, a trailing slash → another exception."""
     pages = pages_table(spark, sf_dir)
     has_html_end = F.col("html").contains("</html>")
     return pages.select(
@@ -278,9 +325,9 @@ def page_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         has_html_end.alias("ok"),
         F.when(has_html_end, "OK").otherwise("Not Found").alias("reason"),
         "html",
-        (~F.col("html").contains("</body>")).alias("page_timeout"),
-        F.lit(None).cast("string").alias("exception"),
-        F.lit(False).alias("timed_out"))
+        F.col("url").contains("?").alias("page_timeout"),
+        F.when(F.col("url").endswith("/"), F.lit("Connection refused")).alias("exception"),
+        F.col("url").contains("#").alias("timed_out"))
 
 
 @query
@@ -291,6 +338,26 @@ def fetch_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_responses(page_responses(spark, sf_dir), keep=("page_id",))
 
 
+@query
+def page_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 and the record codec: page records as JSON strings and back."""
+    from resemble.sources.ledger import decode_record, encode_record, normalise_responses
+
+    records = normalise_responses(page_responses(spark, sf_dir), keep=("page_id",))
+    coded = records.select("page_id", encode_record().alias("record"))
+    return coded.select("page_id", decode_record(F.col("record")).alias("r")).select("page_id", "r.*")
+
+
+@query
+def decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 decode that drops bad bytes: each text's bytes with a stray byte put before them."""
+    from resemble.functions.tokens import decode_utf8
+
+    docs = table(spark, sf_dir, "documents")
+    raw = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
+    return docs.select("doc_id", F.coalesce(decode_utf8(raw), F.lit("")).alias("text"))
+
+
 def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a crawl log: the key ``user_id`` is the URL; an error event is a failed crawl."""
     ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
@@ -305,12 +372,11 @@ def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ledger_and_requests(spark: SparkSession, sf_dir: str):
+    """The whole log, its records, its requests, and the log's last moment as the time of the check."""
     log = crawl_log(spark, sf_dir)
-    ledger = log.where((F.col("event_type") != "view") & (F.col("crawled_at") <= F.lit(LEDGER_ASOF).cast("timestamp"))) \
-        .select("url", "content", "error", "code", "ok", "crawled_at")
-    requests = log.where((F.col("event_type") == "view")
-                         & (F.col("crawled_at") <= F.lit(LEDGER_ASOF).cast("timestamp"))).select("url")
-    return log, ledger, requests
+    ledger = log.where(F.col("event_type") != "view").select("url", "content", "error", "code", "ok", "crawled_at")
+    requests = log.where(F.col("event_type") == "view").select("url")
+    return log, ledger, requests, log.agg(F.max("crawled_at")).scalar()
 
 
 def _ledger_out(df: DataFrame) -> DataFrame:
@@ -320,11 +386,11 @@ def _ledger_out(df: DataFrame) -> DataFrame:
 
 @query
 def ledger_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest unexpired record (1 day, as of a fixed time) of every requested URL."""
+    """Latest unexpired record (1 day, as of the log's end) of every requested URL."""
     from resemble.sources.ledger import resolve
 
-    _, ledger, requests = _ledger_and_requests(spark, sf_dir)
-    return _ledger_out(resolve(requests, ledger, LEDGER_ASOF, LEDGER_TTL))
+    _, ledger, requests, asof = _ledger_and_requests(spark, sf_dir)
+    return _ledger_out(resolve(requests, ledger, asof, LEDGER_TTL))
 
 
 @query
@@ -332,8 +398,17 @@ def ledger_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested URLs without an unexpired record."""
     from resemble.sources.ledger import frontier
 
-    _, ledger, requests = _ledger_and_requests(spark, sf_dir)
-    return frontier(requests, ledger, LEDGER_ASOF, LEDGER_TTL)
+    _, ledger, requests, asof = _ledger_and_requests(spark, sf_dir)
+    return frontier(requests, ledger, asof, LEDGER_TTL)
+
+
+@query
+def ledger_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest record of every requested URL, whatever its age."""
+    from resemble.sources.ledger import resolve
+
+    _, ledger, requests, asof = _ledger_and_requests(spark, sf_dir)
+    return _ledger_out(resolve(requests, ledger, asof, None))
 
 
 @query
@@ -341,13 +416,12 @@ def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frontier URLs fetched now (their last view as content) merged into the ledger."""
     from resemble.sources.ledger import frontier, latest_per_url, stamp, upsert
 
-    log, ledger, requests = _ledger_and_requests(spark, sf_dir)
-    todo = frontier(requests, ledger, LEDGER_ASOF, LEDGER_TTL)
-    views = latest_per_url(log.where((F.col("event_type") == "view")
-                                     & (F.col("crawled_at") <= F.lit(LEDGER_ASOF).cast("timestamp")))
+    log, ledger, requests, asof = _ledger_and_requests(spark, sf_dir)
+    todo = frontier(requests, ledger, asof, LEDGER_TTL)
+    views = latest_per_url(log.where(F.col("event_type") == "view")
                            .select("url", "content", F.lit(None).cast("string").alias("error"),
                                    F.lit(200).alias("code"), F.lit(True).alias("ok"), "crawled_at"))
-    fresh = stamp(views.join(todo, "url", "left_semi"), LEDGER_ASOF)
+    fresh = stamp(views.join(todo, "url", "left_semi"), asof)
     return _ledger_out(upsert(ledger, fresh))
 
 

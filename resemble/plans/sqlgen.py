@@ -8,6 +8,7 @@ patterns use).  They exist only to write the independent twin queries in
 
 from __future__ import annotations
 
+from resemble.functions.stem import stem_steps
 from resemble.functions.tokens import BREAK_CHARS, NBSP, WS_CLASS, regex_steps
 
 
@@ -77,3 +78,11 @@ def fingerprint_sql(tokens: str) -> str:
         weight = "(-9223372036854775808)::BIGINT" if i == 63 else f"{1 << i}::BIGINT"
         bits.append(f"(CASE WHEN 2 * {cnt} > len({tokens}) THEN {weight} ELSE 0::BIGINT END)")
     return "(" + " | ".join(bits) + ")"
+
+
+def stem_sql(t: str) -> str:
+    """Twin of ``stem.stem_tokens`` over a DuckDB list."""
+    s = f"array_to_string({t}, chr(10))"
+    for pattern, new in stem_steps():
+        s = f"regexp_replace({s}, {lit('(?m)' + pattern)}, {lit(new.replace('$1', chr(92) + '1'))}, 'g')"
+    return f"list_filter(string_split(lower({s}), chr(10)), lambda x: x <> '')"

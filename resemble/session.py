@@ -1,15 +1,13 @@
 """Session construction and the shared checkpoint folder.
 
 On a cluster the session already exists and ``spark.checkpoint.dir`` names a
-shared folder; :func:`checkpoint_dir` only reads it.  A folder of our own is
-set only where none is configured (local tests and the bench).
+shared folder; :func:`checkpoint_dir` only reads it.  Where none is configured
+(local tests and the bench) a folder in the session's warehouse is used, which
+all executors share; never a machine's temporary folder.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 _LOCAL_CONF = {
@@ -20,6 +18,8 @@ _LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
     "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
@@ -41,16 +41,14 @@ def build_session(master: str = "local[8]", app: str = "resemble", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured ``spark.checkpoint.dir``; create a local one only if unset."""
+    """The configured ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which executors share."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="resemble-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not configured:
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 # Default expiry and the fetch messages.
 # ---------------------------------------------------------------------------
 DEFAULT_TTL_SECONDS = 604_800
-URL_STRIP_CHARS = " \"'"
+URL_STRIP_CHARS = " \t\n\r\x0b\x0c\"'"
 MSG_EMPTY_URL = "url is empty"
 MSG_TIMEOUT = "Web page read timeout"
 MSG_PAGE_TIMEOUT = "Crawling error: pageTimeoutFlag=true"
@@ -38,7 +38,7 @@ LEDGER_COLUMNS = ("url", "content", "error", "code", "ok", "crawled_at")
 
 
 def parse_url_list(raw: Column) -> Column:
-    """S6 + S7: comma string → array of URLs, each stripped of space and both quotes, blanks dropped."""
+    """S6 + S7: comma string → array of URLs, each stripped of white space and both quotes, blanks dropped."""
     parts = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda x: F.btrim(x, F.lit(URL_STRIP_CHARS)))
     return F.filter(parts, lambda x: x != "")
 
@@ -76,9 +76,28 @@ def normalise_responses(responses: DataFrame, keep: tuple[str, ...] = ()) -> Dat
                             code.alias("code"), ok.alias("ok"))
 
 
-def stamp(records: DataFrame, asof: dt.datetime | str) -> DataFrame:
+#: a page record as it is kept: see ``encode_record``
+RECORD_SCHEMA = "url string, content string, error string, code int, ok boolean"
+
+
+def encode_record() -> Column:
+    """A page record's columns as one JSON string; null members are written, so decoding restores them."""
+    return F.to_json(F.struct("url", "content", "error", "code", "ok"), {"ignoreNullFields": "false"})
+
+
+def decode_record(record: Column) -> Column:
+    """The struct that ``encode_record`` wrote; null for a string that is no record."""
+    return F.from_json(record, RECORD_SCHEMA)
+
+
+def _at(asof: dt.datetime | str | Column) -> Column:
+    """A moment as a timestamp: a value, or a column such as a scalar subquery."""
+    return (asof if isinstance(asof, Column) else F.lit(asof)).cast("timestamp")
+
+
+def stamp(records: DataFrame, asof: dt.datetime | str | Column) -> DataFrame:
     """Stamp fresh records with the crawl time (every record, errors included)."""
-    return records.withColumn("crawled_at", F.lit(asof).cast("timestamp")).select(*LEDGER_COLUMNS)
+    return records.withColumn("crawled_at", _at(asof)).select(*LEDGER_COLUMNS)
 
 
 def latest_per_url(ledger: DataFrame) -> DataFrame:
@@ -87,14 +106,14 @@ def latest_per_url(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("url").agg(F.max(rec).alias("r")).select("url", "r.*").select(*LEDGER_COLUMNS)
 
 
-def fresh_ledger(ledger: DataFrame, asof: dt.datetime | str, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> DataFrame:
+def fresh_ledger(ledger: DataFrame, asof: dt.datetime | str | Column, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> DataFrame:
     """Ledger rows valid at ``asof``: ``asof − ttl < crawled_at ≤ asof`` (prunes date partitions)."""
-    at = F.lit(asof).cast("timestamp")
+    at = _at(asof)
     cutoff = at - F.make_dt_interval(secs=F.lit(ttl_seconds))
     return ledger.where((F.col("crawled_at") > cutoff) & (F.col("crawled_at") <= at))
 
 
-def resolve(requests: DataFrame, ledger: DataFrame, asof: dt.datetime | str,
+def resolve(requests: DataFrame, ledger: DataFrame, asof: dt.datetime | str | Column,
             ttl_seconds: int | None = DEFAULT_TTL_SECONDS) -> DataFrame:
     """S9 (S10 when ``ttl_seconds`` is None): cached records for the requested URLs.
 
@@ -108,7 +127,7 @@ def resolve(requests: DataFrame, ledger: DataFrame, asof: dt.datetime | str,
     return latest_per_url(valid.join(wanted, "url", "left_semi"))
 
 
-def frontier(requests: DataFrame, ledger: DataFrame, asof: dt.datetime | str,
+def frontier(requests: DataFrame, ledger: DataFrame, asof: dt.datetime | str | Column,
              ttl_seconds: int | None = DEFAULT_TTL_SECONDS) -> DataFrame:
     """Requested URLs that have no valid record, to be fetched."""
     valid = ledger.where(F.col("crawled_at").isNotNull())

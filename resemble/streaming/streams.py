@@ -43,10 +43,14 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", foreach_batch=None) -> DataFrame:
-    """Run ``stream`` until its input is consumed; return what it wrote as a batch DataFrame."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", foreach_batch=None, path: str | None = None) -> DataFrame:
+    """Run ``stream`` until its input is consumed; return what it wrote as a batch DataFrame.
+
+    ``path`` holds the output and the stream's checkpoint; a later run with the
+    same path resumes there.  Without it the run gets a folder of its own.
+    """
     spark = stream.sparkSession
-    root = _run_dir(spark, name)
+    root = path.rstrip("/") if path else _run_dir(spark, name)
     out = f"{root}/data"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint") \
         .trigger(availableNow=True)

@@ -9,12 +9,14 @@ SF0001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     from resemble.session import ensure_checkpoint_dir
 
-    s = (SparkSession.builder.master("local[*]")
+    s = (SparkSession.builder.master("local[4]")
+         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")

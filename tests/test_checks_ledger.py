@@ -244,7 +244,7 @@ def test_rs_set_join_equals_brute_force(spark):
                                                                      F.col("text").alias("content"))
     right = spark.read.parquet(f"{SF0001}/documents.parquet").select(F.col("doc_id").alias("key"),
                                                                       F.col("text").alias("content"))
-    got = {(r.main_key, r.sub_key) for r in set_join_rs(left, right, "cosine", 15.0).collect()}
+    got = {(r.main_key, r.sub_key) for r in set_join_rs(left, right, "cosine", 15.0, stem=False).collect()}
     assert got == want and len(want) > 0
 
 
@@ -267,3 +267,30 @@ def test_user_metric(spark):
     checks = spark.createDataFrame([(0, "m", "s1"), (0, "m", "s2")], "check_id int, main_key string, sub_key string")
     got = {r.sub_key: (r.similarity, r.rank) for r in ck.one_vs_many(checks, corpus, "shared").collect()}
     assert got == {"s1": (2.0, 1), "s2": (0.0, 2)}
+
+
+def test_stemming_is_the_default(spark):
+    corpus = ck.corpus_from(spark.createDataFrame([(1, "The runner was running"), (2, "runners run the run")], "k long, t string"), "k", "t")
+    checks = spark.createDataFrame([(0, 1, 2)], "check_id int, main_key long, sub_key long")
+    assert ck.one_vs_many(checks, corpus, "jaccard").first().similarity == 75.0
+    assert ck.one_vs_many(checks, corpus, "jaccard", stem=False).first().similarity == 16.67
+
+
+def test_only_named_keys_are_extracted(spark):
+    pages = spark.createDataFrame([(i, f"http://x.example/{i}", f"<p>text {i}</p>") for i in range(9)] + [(9, "http://x.example/1", "<p>late</p>")],
+                                  "page_id long, url string, html string")
+    from resemble.plans.catalogue import page_corpus
+
+    keys = spark.createDataFrame([("http://x.example/1",), ("http://x.example/2",)], "key string")
+    got = {r.key: r.content for r in page_corpus(pages, "selective", "p")(keys).collect()}
+    assert got == {"http://x.example/1": "text 1 ", "http://x.example/2": "text 2 "}
+
+
+def test_url_strip_and_record_codec(spark):
+    from resemble.sources.ledger import decode_record, encode_record, parse_url_list
+
+    raw = spark.createDataFrame([("\nhttp://b.com\t, \"http://c.com\" ,,",)], "raw string")
+    assert raw.select(parse_url_list(F.col("raw")).alias("u")).first().u == ["http://b.com", "http://c.com"]
+    rec = spark.createDataFrame([("u", 'a "b" \n', None, 200, True), ("v", "", "gone", None, None)], "url string, content string, error string, code int, ok boolean")
+    back = rec.select(decode_record(encode_record()).alias("r")).select("r.*")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rec.collect()), key=str)
