@@ -1,7 +1,6 @@
 """Connected components of an edge table, as joins and partial aggregations.
 
-Alternating large-star and small-star rounds: each round points every node at
-the smallest node it has seen, and the table never grows beyond its edges.
+Alternating large-star and small-star rounds until all that is left are stars.
 Each round is written to the shared checkpoint folder, so a lost executor
 costs one round at most and the plan does not grow.
 """
@@ -32,11 +31,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and hash sum of the edges; equal before and after a round once all stars are done."""
-    row = edges.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, and that one has none."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    inner = edges.join(edges.select(F.col("b").alias("x")).distinct(), F.col("a") == F.col("x"), "left_semi").select("a")
+    return twice.union(inner).limit(1).count() == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,23 +45,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A node of very many edges is safe: minima are pre-aggregated, and the joins
     stream the edge side, which adaptive execution splits.
     """
-    cur = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    cur = stored(cur)
-    state = _state(cur)
-    while state[0]:
+    cur = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    while not _is_star(cur):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "x")
-        large = (both.join(low, F.col("a") == F.col("x")).where("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        # large star: a node's larger neighbours go to its smallest one
+        large = both.join(low, F.col("a") == F.col("x")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "x")
         joined = large.join(low, F.col("a") == F.col("x"))
-        small = (joined.select("a", F.col("m").alias("b"))
-                 .union(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
-        cur = stored(small)
-        new = _state(cur)
-        if new == state:
-            break
-        state = new
-    # stars: every non-root has one edge to its root
+        cur = stored(joined.select("a", F.col("m").alias("b"))
+                     .union(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
     return (cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(cur.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())

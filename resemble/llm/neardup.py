@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resemble.llm.graph import components, stored
+from resemble.llm.graph import components, small, stored
 from resemble.llm.wordhash import NON_SPACE, mix, shingle_sets, split_words, text_slices
 
 COORDS = 64
@@ -225,12 +225,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 
     Rows without an id stay.
     """
-    groups = near_groups(docs, width, percent, id_col, text_col)
-    gone = groups.where(f"{id_col} <> component_id").select(id_col).distinct()
-    repeated = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    staying = docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    once = staying.join(repeated, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    groups = stored(near_groups(docs, width, percent, id_col, text_col))
+    gone = stored(groups.where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone")).distinct())
+    repeated = stored(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice")))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    least = (staying.join(repeated, id_col, "left_semi").groupBy(id_col)
-             .agg(F.min(F.struct(*cols)).alias("r")).select("r.*"))
+    staying = docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    if not repeated.limit(1).count():
+        return staying.select(*cols)
+    same = F.col(id_col) == F.col("_twice")
+    once = staying.join(small(repeated), same, "left_anti").select(*cols)
+    least = staying.join(small(repeated), same, "left_semi").groupBy(id_col).agg(F.min(F.struct(*cols)).alias("r")).select("r.*")
     return once.unionByName(least)
