@@ -140,6 +140,8 @@ def fuzzy_ratio(a: str, b: str) -> int:
     """round(100 · 2·LCS / (len a + len b)), half away from zero; 0 if a side is empty."""
     if not a or not b:
         return 0
+    if a == b:
+        return 100
     r = 2.0 * lcs_length(a, b) / (len(a) + len(b))
     x = 100.0 * r
     return int(x + 0.5)
