@@ -164,7 +164,7 @@ class Metric:
     feature_names: tuple[str, ...]
 
 
-def _prepare_set(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
+def prepare_set(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
     return df.withColumn(prefix + "set", F.array_distinct(F.col(tokens)))
 
 
@@ -201,9 +201,9 @@ def known_metric(name: str) -> bool:
     return name in _REGISTRY
 
 
-register_metric(Metric("cosine", _prepare_set,
+register_metric(Metric("cosine", prepare_set,
                        lambda l, r: cosine_of_sets(F.col(l + "set"), F.col(r + "set")), ("set",)))
-register_metric(Metric("jaccard", _prepare_set,
+register_metric(Metric("jaccard", prepare_set,
                        lambda l, r: jaccard_of_sets(F.col(l + "set"), F.col(r + "set")), ("set",)))
 register_metric(Metric("simhash", _prepare_simhash,
                        lambda l, r: simhash_compare(F.col(l + "fp"), F.col(l + "n"), F.col(r + "fp"), F.col(r + "n")),

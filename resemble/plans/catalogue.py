@@ -588,3 +588,72 @@ def page_extract_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = tk.with_tokens(extract(pages_table(spark, sf_dir), "dragnet"), "content", "t")
     return out.select("page_id", "url", "content", F.size("t").cast("long").alias("n_tokens"), _joined(F.col("t")).alias("tokens"))
+
+
+@query
+def content_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content pairs written as a tab-separated result table and read back as an upload."""
+    import uuid
+
+    from resemble.session import checkpoint_dir
+    from resemble.sources.content import read_content_table, result_name, write_result_table
+
+    pairs = conversation_pairs(spark, sf_dir)
+    # a record is one line: line feeds and tabs inside a text become spaces
+    flat = pairs.select("pair_id", *[F.translate(c, "\n\r\t", "   ").alias(c) for c in ("content_1", "content_2")])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{result_name('pairs.txt', uuid.uuid4().hex)}"
+    write_result_table(flat, path)
+    return read_content_table(spark, path)
+
+
+@query
+def cross_check_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three consecutive documents where some pages failed, Jaccard."""
+    _, corpus = checks_per_source(spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    trip = (ids.select(F.col("doc_id").alias("key_1"))
+            .join(ids.select(F.col("doc_id").alias("key_2")), F.col("key_2") == F.col("key_1") + 1)
+            .join(ids.select(F.col("doc_id").alias("key_3")), F.col("key_3") == F.col("key_1") + 2))
+    return ck.cross_check(trip.select(F.col("key_1").alias("check_id"), "key_1", "key_2", "key_3"), corpus, "jaccard")
+
+
+@query
+def ranked_retrieval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked retrieval over a corpus with failed and blank pages, which are not indexed."""
+    from resemble.operators.ranking import ranked_retrieval as run
+
+    _, corpus = checks_per_source(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    return run(corpus, docs.agg(F.min("doc_id")).first()[0])
+
+
+@query
+def blank_page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose markup was cut off count as blank: their URL stands for their content."""
+    from resemble.operators.pages import extract
+
+    pages = pages_table(spark, sf_dir)
+    return extract(pages.withColumn("html", F.when(F.col("html").contains("</html>"), F.col("html")).otherwise("")), "all_text")
+
+
+@query
+def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 V1: a registered metric, the overlap coefficient of the stemmed words, on consecutive turns."""
+    from resemble.functions.metrics import Metric, prepare_set, register_metric
+
+    def overlap(left: str, right: str):
+        a, b = F.col(left + "set"), F.col(right + "set")
+        least = F.least(F.size(a), F.size(b))
+        return F.when(least == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(a, b)) / F.nullif(least, F.lit(0)) * 100, 2))
+
+    register_metric(Metric("overlap", prepare_set, overlap, ("set",)))
+    return ck.content_metrics(conversation_pairs(spark, sf_dir), "pair_id", ["content_1", "content_2"], "overlap")
+
+
+@query
+def user_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: a registered extractor, each page's headings, over the parsed nodes."""
+    from resemble.operators.pages import extract, register_extractor, selective
+
+    register_extractor("headings", lambda pages, nodes: selective(pages, "h1", "css", nodes))
+    return extract(pages_table(spark, sf_dir), "headings")

@@ -261,7 +261,7 @@ def test_missing_sub_page_is_reported(spark):
 def test_user_metric(spark):
     from resemble.functions import metrics as M
 
-    M.register_metric(M.Metric("shared", M._prepare_set,
+    M.register_metric(M.Metric("shared", M.prepare_set,
                                lambda l, r: F.size(F.array_intersect(F.col(l + "set"), F.col(r + "set"))), ("set",)))
     corpus = _corpus(spark, [("m", "a b c", None), ("s1", "a b", None), ("s2", "z", None)])
     checks = spark.createDataFrame([(0, "m", "s1"), (0, "m", "s2")], "check_id int, main_key string, sub_key string")
