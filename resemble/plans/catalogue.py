@@ -547,7 +547,7 @@ def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job progress from the event log as a stream (sizes from the static log)."""
-    from resemble.streaming.streams import file_stream, progress_stream, run_to_table, write_progress
+    from resemble.streaming.streams import file_stream, latest_progress, progress_stream, run_to_table, write_progress
 
     ev = file_stream(spark, sf_dir, "events")
     rows = ev.select(F.col("user_id").alias("job_id"),
@@ -557,7 +557,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("job_id"), F.lit("row").alias("kind")))
     static = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     sizes = static.groupBy(F.col("user_id").alias("job_id")).agg(F.count(F.lit(1)).cast("long").alias("size"))
-    return run_to_table(progress_stream(rows), "progress", "complete", write_progress(sizes))
+    return latest_progress(run_to_table(progress_stream(rows), "progress", "update", write_progress), sizes)
 
 
 @query

@@ -71,34 +71,45 @@ FRONTIER_STATE = "t0 long"
 
 def _frontier_fn(ttl_us: int):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t0 = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         frames = [b for b in batches if len(b)]
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["t", "event_id"], kind="stable")
-        keep = []
-        for t in pdf["t"].to_numpy():
-            t = int(t)
-            miss = t0 is None or t >= t0 + ttl_us
-            if miss:
-                t0 = t
-            keep.append(miss)
-        state.update((t0,))
-        hit = pdf[keep]
+        times = pdf["t"].to_numpy()
+        # from miss to miss: the next one is the first access at or after the end of this one's life
+        misses = []
+        at = int(times.searchsorted(state.get[0] + ttl_us)) if state.exists else 0
+        while at < len(times):
+            misses.append(at)
+            at = max(int(times.searchsorted(times[at] + ttl_us)), at + 1)
+        if misses:
+            state.update((int(times[misses[-1]]),))
+        # an entry whose life is over is no entry: nothing is lost when it goes
+        ends = (state.get[0] + ttl_us) // 1000 + 1
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        hit = pdf.iloc[misses]
         yield pd.DataFrame({"key": hit["key"].astype("int64"), "event_id": hit["event_id"].astype("int64"),
                             "ts": hit["ts"]})
 
     return fn
 
 
-def frontier_stream(log: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int) -> DataFrame:
-    """The accesses that are misses (fetches), emitted as they arrive."""
+def frontier_stream(log: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int, late: str = "1 day") -> DataFrame:
+    """The accesses that are misses (fetches), emitted as they arrive.
+
+    A key's state goes once the watermark (the latest event time less ``late``)
+    passes the end of its entry's life, so the state holds live entries only.
+    Events that come later than ``late`` are dropped, as with any watermark.
+    """
     rows = log.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"),
                       F.col(ts).cast("timestamp").alias("ts"),
-                      F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+                      F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).withWatermark("ts", late)
     return rows.groupBy("key").applyInPandasWithState(
         _frontier_fn(ttl_seconds * 1_000_000), FRONTIER_SCHEMA, FRONTIER_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 # --- X3 -----------------------------------------------------------------------------
@@ -110,14 +121,16 @@ def progress_stream(job_rows: DataFrame) -> DataFrame:
         (F.count(F.when(F.col("kind") == "finish", 1)) > 0).alias("finish"))
 
 
-def write_progress(sizes: DataFrame):
-    """foreachBatch body for X3 in complete mode: join the static job sizes, write the snapshot."""
-    def write(batch: DataFrame, epoch: int, out: str) -> None:
-        snap = batch.join(sizes, "job_id", "right").select(
-            "job_id", "size", F.coalesce("progress", F.lit(0)).alias("progress"),
-            F.when(F.col("size") == 0, F.lit(0.0))
-            .otherwise(F.round(F.coalesce("progress", F.lit(0)) / F.col("size") * 100, 0)).alias("complete"),
-            F.coalesce("finish", F.lit(False)).alias("finish"))
-        snap.write.mode("overwrite").parquet(out)
+def write_progress(batch: DataFrame, epoch: int, out: str) -> None:
+    """foreachBatch body for X3 in update mode: the jobs that changed, a folder per epoch, so a retry replaces its own."""
+    batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
 
-    return write
+def latest_progress(changes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each job's newest counts next to its size; jobs without a row have no progress."""
+    newest = changes.groupBy("job_id").agg(F.max(F.struct("epoch", "progress", "finish")).alias("r")).select("job_id", "r.progress", "r.finish")
+    return newest.join(sizes, "job_id", "right").select(
+        "job_id", "size", F.coalesce("progress", F.lit(0)).alias("progress"),
+        F.when(F.col("size") == 0, F.lit(0.0))
+        .otherwise(F.round(F.coalesce("progress", F.lit(0)) / F.col("size") * 100, 0)).alias("complete"),
+        F.coalesce("finish", F.lit(False)).alias("finish"))
