@@ -43,13 +43,15 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
              "span strike strong sub sup time tt u var wbr".split())
 SKIPPED = set("head nav aside footer form button select option label input fieldset dialog menu object embed audio "
               "video canvas map".split())
-NEVER_SKIPPED = {"html", "body", "article", "main"}
+NEVER_SKIPPED = {"html", "body"}
 SKIPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 SKIPPED_WORDS = set(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "outbrain pagination paywall popup promo promotion related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+#: these tell what an element is wherever they stand in its name, and whether it is an article
+STRONG_WORDS = set("adsbygoogle advert advertisement comment comments cookie disqus promo related replies reply".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                "h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
@@ -86,7 +88,9 @@ def _is_skipped(tag: str, raw: str, inside_article: bool) -> bool:
     for name in (attr.get("class", "") + " " + attr.get("id", "")).split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
         # "with-sidebar" names what a part of the element is, "sidebar-left" and "left-sidebar" what it is
-        if words and words[0] not in ("has", "with", "no", "without") and (words[0] in SKIPPED_WORDS or words[-1] in SKIPPED_WORDS):
+        if not words or words[0] in ("has", "with", "no", "without"):
+            continue
+        if STRONG_WORDS.intersection(words) or tag not in ("article", "main") and (words[0] in SKIPPED_WORDS or words[-1] in SKIPPED_WORDS):
             return True
     return False
 

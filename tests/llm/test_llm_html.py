@@ -34,6 +34,13 @@ def test_low_density_blocks_inside_the_article_stay():
     assert main_text(page) == "T " + "long text " * 80 + "Er. i"
 
 
+def test_comments_and_adverts_inside_the_article_go():
+    page = ("<main class='sidebar-right'><article class='post sidebar-right'><header><h1>T</h1></header><p>" + "body text " * 30 + "</p>"
+            "<aside>side</aside><div class='ad-slot'>Buy</div><div class='post-comment-list'><article class='comment'><p>" + "I say " * 60 + "</p></article></div>"
+            "<p hidden>x</p><div role='alert'>y</div><p style='display: none'>z</p></article></main>")
+    assert main_text(page) == "T " + ("body text " * 30).strip()
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in extract_main_text(pages).collect()}
