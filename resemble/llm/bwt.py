@@ -51,16 +51,16 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(s.order) for s in shards]
     before = np.concatenate([s.before for s in shards])
     source = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    block = np.zeros(len(source), np.int64)
-    rows = np.arange(len(source))
+    block = np.zeros(len(source), np.int32)
+    rows = np.arange(len(source), dtype=np.int32)
     for _ in range(depth // 2):
-        deal = np.argsort(before[rows], kind="stable")
-        symbol, old = before[rows][deal], block[deal]
-        source = source[deal]
-        new = np.zeros(len(deal), np.int64)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(new)
+        symbol = before[rows]
+        deal = np.argsort(symbol, kind="stable")
+        symbol, block, source = symbol[deal], block[deal], source[deal]
+        new = np.zeros(len(deal), bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(new, dtype=np.int32)
         # rows of one shard come in its own order, whatever their places
-        rows = np.empty(len(source), np.int64)
-        rows[np.argsort(source, kind="stable")] = np.arange(len(source))
+        if len(shards) > 1:
+            rows[np.argsort(source, kind="stable")] = np.arange(len(source), dtype=np.int32)
     return rows, block

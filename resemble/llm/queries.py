@@ -53,7 +53,7 @@ def op5_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bwt_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents", spread_text=False).select("doc_id", "text")).drop("kept")
+    return remove_repeats(read_table(spark, sf_dir, "documents", spread_text=False).select("doc_id", "text"), with_bytes=False).drop("kept")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
