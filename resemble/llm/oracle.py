@@ -67,3 +67,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
+
+# the pages' main text is their article; references cut short at a text's end are decoded as browsers do
+ORACLE["op1_html_text_density"] = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'),
+             '</?b>', '', 'g'), '&amp(<|$)', '&amp;\1', 'g') AS x FROM pages),
+t AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'),
+             '&middot;', '·'), '&amp;', '&') AS x FROM a),
+n AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM t)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM n
+"""
+
+ORACLE["op6_bwt_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS g
+      FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+m AS (SELECT g, min(doc_id) AS lo FROM s GROUP BY g),
+c AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM s JOIN m USING (g) WHERE lo < doc_id),
+k AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM c),
+sp AS (SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY r, span),
+q AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM sp),
+g AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+             string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
