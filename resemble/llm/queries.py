@@ -41,11 +41,14 @@ def op3_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
-    model = fit_text_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Pages with their declaration, suffix, host and domain, and documents with their source as the host."""
+    pages, docs = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")
+    model = fit_text_model(docs)
     host = host_of(F.col("url"))
-    return identify(pages, model, ["page_id", "url"], "html", markup=True, declared=declared_language(F.col("html")),
-                    suffix=address_suffix(host), levels=[domain_of(host), host])
+    of_pages = identify(pages, model, ["page_id"], "html", markup=True, declared=declared_language(F.col("html")),
+                        suffix=address_suffix(host), levels=[domain_of(host), host])
+    of_docs = identify(docs, model, ["doc_id"], "text", levels=[F.col("source")])
+    return of_pages.unionByName(of_docs, allowMissingColumns=True)
 
 
 def op5_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
