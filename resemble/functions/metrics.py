@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 METRIC_NAMES = ("jaccard", "cosine", "fuzzy", "simhash")
 DEFAULT_METRIC = "cosine"
 UNKNOWN_METRIC_MESSAGE = "Distance metric %s do not existed, we support only jaccard, cosine, fuzzy, simhash"
-FINGERPRINT_BITS = 64
 # ---------------------------------------------------------------------------
 
 
@@ -76,23 +75,27 @@ def simhash_fingerprints(df: DataFrame, keys: list[str], tokens: str, out: str =
     """A5: one 64-bit fingerprint per key from its token list (duplicates weigh more).
 
     Bit i is set when the signed sum of bit i over all token hashes is > 0
-    (Charikar 2002).  Native: explode, 64 conditional sums with partial
-    aggregation, bits recombined with ``|``.  Empty token lists give 0.  The
-    expressions are handed over as SQL text: built Column by Column they cost
-    tens of thousands of driver round trips.
+    (Charikar 2002), that is when more than half of the hashes have it.
+    Native: explode, then 32 sums with partial aggregation; each counts two bits
+    in the halves of a long.  Empty token lists give 0.
     """
     exploded = df.select(*keys, F.explode_outer(tokens).alias("_t"))
     hashed = exploded.select(*keys, F.when(F.col("_t").isNotNull(), token_hash64(F.col("_t"))).alias("_h"))
-    sums = ", ".join(f"sum(CASE WHEN _h IS NULL THEN 0 WHEN getbit(_h, {i}) = 1 THEN 1 ELSE -1 END)"
-                     for i in range(FINGERPRINT_BITS))
+    sums = ", ".join(f"coalesce(sum(shiftrightunsigned(_h, {j}) & {_HALVES}L), 0L)" for j in range(32))
     agg = hashed.groupBy(*keys).agg(F.expr(f"array({sums})").alias("_b"), F.count("_h").alias("_n"))
-    return agg.select(*keys, F.expr(_fingerprint_from_sums("_b")).alias(out), F.col("_n").alias(out + "_n"))
+    return agg.select(*keys, F.expr(_fingerprint_from_sums("_b", "_n")).alias(out), F.col("_n").alias(out + "_n"))
 
 
-def _fingerprint_from_sums(sums: str) -> str:
-    """SQL text OR-ing bit i into the fingerprint when ``sums[i]`` > 0."""
-    return " | ".join(f"(CASE WHEN {sums}[{i}] > 0 THEN shiftleft(1L, {i}) ELSE 0L END)"
-                      for i in range(FINGERPRINT_BITS))
+_HALVES = (1 << 32) + 1
+
+
+def _fingerprint_from_sums(sums: str, number: str) -> str:
+    """SQL text of the bits that more than half of ``number`` hashes have.
+
+    With ``2 ** 30 - 1 - number / 2`` added to both halves of a sum, bit 30 of a half is set exactly for those.
+    """
+    add = f"({(1 << 30) - 1}L - shiftright({number}, 1)) * {_HALVES}L"
+    return " | ".join(f"shiftleft(shiftrightunsigned({sums}[{j}] + {add}, 30) & {_HALVES}L, {j})" for j in range(32))
 
 
 def simhash_compare(fp_a: Column, n_a: Column, fp_b: Column, n_b: Column) -> Column:
