@@ -2,11 +2,12 @@
 
 A shard is a set of byte strings, each closed by the byte ``CLOSE``.  The rows
 of its transform are the cyclic rotations of its strings in order.  Merging
-keeps, for every row of the merged order, only the shard it comes from: the
-rows of one shard always come in the shard's own order.  A round deals the
-interleave stably by the two bytes that precede each row, which refines the
-order by two more bytes, so ``depth / 2`` rounds suffice for intervals of
-equal ``depth``-byte prefixes.  Suffixes are not sorted again.
+starts from the shards one after the other.  A round deals the interleaved
+rows stably by the two bytes that precede each and steps to the rows that
+begin there, which refines the order by two more bytes, so ``depth / 2``
+rounds suffice for intervals of equal ``depth``-byte prefixes.  Suffixes are
+not sorted again.  A row alone in its interval stays alone, and so do the rows
+before it: such rows are left out of later rounds.
 """
 
 from __future__ import annotations
@@ -37,30 +38,40 @@ class Shard:
             at = step[at]
         _, rank = np.unique(key, return_inverse=True)
         width = 8
+        bits = n.bit_length()
         while width < depth:
-            _, rank = np.unique(rank * np.int64(n + 1) + rank[rotated(width)], return_inverse=True)
-            width *= 2
-        self.order = np.argsort(rank, kind="stable")
-        before = data[rotated(-2)].astype(np.uint16) << np.uint16(8) | data[rotated(-1)]
+            # as many ranks as fit in 63 bits make the next one
+            many = max(min(63 // bits, -(-depth // width)), 2)
+            key = rank.astype(np.int64)
+            for k in range(1, many):
+                key = (key << bits) | rank[rotated(k * width)]
+            _, rank = np.unique(key, return_inverse=True)
+            width *= many
+        self.order = np.argsort(rank, kind="stable").astype(np.int32)
+        back = rotated(-2)
+        before = data[back].astype(np.uint16) << np.uint16(8) | data[rotated(-1)]
         self.before = before[self.order]
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        #: row of the rotation that begins two bytes earlier
+        self.earlier = place[back[self.order]]
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(rows, block)`` of the merged order: row numbers in the concatenated shards' orders, and the
-    number of the interval of equal ``depth``-byte prefixes that each row is in; ``depth`` is even."""
-    sizes = [len(s.order) for s in shards]
+    """``(rows, block)``: the rows (numbered through the shards' orders) that share their ``depth``-byte prefix with
+    another row, in the merged order, and the number of the interval that each is in; ``depth`` is even."""
+    base = np.concatenate([[0], np.cumsum([len(s.order) for s in shards])]).astype(np.int32)
     before = np.concatenate([s.before for s in shards])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    block = np.zeros(len(source), np.int32)
-    rows = np.arange(len(source), dtype=np.int32)
+    earlier = np.concatenate([s.earlier + b for s, b in zip(shards, base)])
+    rows = np.arange(len(before), dtype=np.int32)
+    block = np.zeros(len(rows), np.int32)
     for _ in range(depth // 2):
         symbol = before[rows]
         deal = np.argsort(symbol, kind="stable")
-        symbol, block, source = symbol[deal], block[deal], source[deal]
-        new = np.zeros(len(deal), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new, dtype=np.int32)
-        # rows of one shard come in its own order, whatever their places
-        if len(shards) > 1:
-            rows[np.argsort(source, kind="stable")] = np.arange(len(source), dtype=np.int32)
+        symbol, block, rows = symbol[deal], block[deal], earlier[rows[deal]]
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(new[:-1], dtype=np.int32)
+        shared = ~(new[:-1] & new[1:])
+        rows, block = rows[shared], block[shared]
     return rows, block
