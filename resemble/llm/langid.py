@@ -113,14 +113,17 @@ def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, v: a + v))
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
 
 
-def _add(arrays: list[Column], n: int) -> Column:
-    return F.array(*[sum((a[i] for a in arrays[1:]), arrays[0][i]) for i in range(n)])
+def _rows_of(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], pa.array(values.ravel()))
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key_cols: list[str], text_col: str, markup: bool = False,
@@ -144,7 +147,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key_cols: lis
                          F.col(text_col).cast("string").alias("_text"))
     shared = spark.sparkContext.broadcast(logs)
     carried = [f for f in source.schema.fields if f.name != "_text"]
-    schema = T.StructType(carried + [T.StructField("n_trigrams", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(carried + [T.StructField("n_trigrams", T.LongType()), T.StructField("_ll", T.ArrayType(T.DoubleType())),
+                                     T.StructField("_w", T.ArrayType(T.LongType()))])
 
     def score(batches):
         table = shared.value
@@ -156,17 +160,13 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key_cols: lis
                 for k in range(len(table)):
                     if full.any():
                         out[full, k] = np.add.reduceat(table[k][buckets], bounds[:-1][full], dtype=np.float64)
+                # the row's weight for each language, in thousandths
+                weight = np.rint(_softmax(out * TEMPER) * 1000).astype(np.int64) * full[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
-                    + [pa.array(np.diff(bounds)), pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * len(table), pa.array(out.ravel()))],
+                    [c.slice(lo, hi - lo) for c in batch.columns[:-1]] + [pa.array(np.diff(bounds)), _lists(out), _lists(weight)],
                     names=[f.name for f in schema])
 
-    scored = source.mapInArrow(score, schema)
-    tempered = F.transform("_ll", lambda x: x * TEMPER)
-    scored = scored.withColumn("_text_p", _softmax(tempered)).withColumn(
-        "_w", F.when(F.col("n_trigrams") > 0, F.transform("_text_p", lambda p: F.round(p * 1000).cast("long")))
-        .otherwise(F.array(*[F.lit(0).cast("long")] * n)))
-    scored = stored(scored)
+    scored = stored(source.mapInArrow(score, schema))
 
     def counts(key: str | None) -> DataFrame:
         grouped = scored.groupBy(key) if key else scored.groupBy()
@@ -175,36 +175,44 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key_cols: lis
     # corpus, declarations and suffixes: one row a value
     whole = counts(None).first()[0]
     corpus = [(c + 1000.0) / (sum(whole) + 1000.0 * n) for c in whole]
-    out = scored
-    likelihoods = []
+    out, likelihoods, parents = scored, [], []
     for col in ("_declared", "_suffix"):
         values = counts(col).withColumnRenamed(col, f"{col}_v")
         kinds = values.count()
         like = F.array(*[F.log((F.col("_c")[i] / 1000.0 + 1.0) / (whole[i] / 1000.0 + kinds)) for i in range(n)])
         out = out.join(values.select(f"{col}_v", like.alias(f"{col}_l")), F.col(col) == F.col(f"{col}_v"))
-        likelihoods.append(F.col(f"{col}_l"))
-    prior = F.array(*[F.lit(c) for c in corpus])
+        likelihoods.append(f"{col}_l")
     for i in range(len(levels)):
         level = f"_level{i}"
         out = out.join(counts(level).withColumnsRenamed({level: f"{level}_v", "_c": f"{level}_c"}), F.col(level) == F.col(f"{level}_v"))
-        others = F.zip_with(f"{level}_c", "_w", lambda c, w: (c - w) / 1000.0)
-        out = out.withColumn(f"{level}_o", others).withColumn("_prior_next", F.zip_with(
-            f"{level}_o", prior, lambda o, p: o + STRENGTH * p))
-        out = out.withColumn(f"{level}_p", F.transform("_prior_next", lambda v: v / F.aggregate("_prior_next", F.lit(0.0), lambda a, x: a + x)))
-        prior = F.col(f"{level}_p")
-    log_prior = F.transform(prior, lambda p: F.log(p))
-    out = out.withColumn("_evidence", _add([log_prior, F.transform("_ll", lambda x: x * TEMPER), *likelihoods], n))
-    out = out.withColumn("_p", _softmax(F.col("_evidence"))).withColumn("posterior", F.array_max("_p"))
-    languages = F.array(*[F.lit(x) for x in names])
-
-    def best(values: Column) -> Column:
-        return F.element_at(languages, F.array_position(values, F.array_max(values)).cast("int"))
-
-    foreign = F.array_max("_ll") < F.col("n_trigrams") * math.log(1 / BUCKETS)
-    known = (F.col("n_trigrams") > 0) & ~foreign & (F.col("posterior") >= min_posterior)
-    return out.select(
-        *key_cols, F.when(known, best(F.col("_p"))).alias("language"), "posterior",
-        F.when(F.col("n_trigrams") > 0, best(F.col("_ll"))).alias("text_language"), "n_trigrams")
+        parents.append(f"{level}_c")
+    out = out.select(*key_cols, "n_trigrams", "_ll", "_w", *likelihoods, *parents)
+    keys = len(key_cols)
+    result = T.StructType([out.schema[c] for c in key_cols] + [
+        T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()),
+        T.StructField("text_language", T.StringType()), T.StructField("n_trigrams", T.LongType())])
+
+    def fuse(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(keys).to_numpy()
+            ll, own, *rest = [_rows_of(c, n) for c in batch.columns[keys + 1:]]
+            prior = np.tile(np.array(corpus), (batch.num_rows, 1))
+            for c in rest[len(likelihoods):]:
+                # the row's own weight is left out of its host's and its parents' counts
+                prior = (c - own) / 1000.0 + STRENGTH * prior
+                prior /= prior.sum(axis=1, keepdims=True)
+            p = _softmax(np.log(prior) + ll * TEMPER + sum(rest[:len(likelihoods)]))
+            foreign = ll.max(axis=1) < number * math.log(1 / BUCKETS)
+            known = (number > 0) & ~foreign & (p.max(axis=1) >= min_posterior)
+            label = np.array(names, object)
+            yield pa.RecordBatch.from_arrays(
+                batch.columns[:keys] + [pa.array(label[p.argmax(axis=1)], pa.string(), mask=~known), pa.array(p.max(axis=1)),
+                                        pa.array(label[ll.argmax(axis=1)], pa.string(), mask=number == 0), batch.column(keys)],
+                names=[f.name for f in result])
+
+    return out.mapInArrow(fuse, result)
 
 
 def declared_language(html: Column) -> Column:

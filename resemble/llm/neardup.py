@@ -170,7 +170,7 @@ def confirmed_links(docs: DataFrame, tiles: DataFrame, id_col: str, text_col: st
                     coords: int, matches: int) -> DataFrame:
     """``(a, b)`` class pairs that span all confirmed links."""
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("t")).where(F.col("node").isNotNull())
-    rows = texts.join(tiles, "node").select("tile", "cluster", "node", "chunk", "t")
+    rows = texts.join(small(tiles), "node").select("tile", "cluster", "node", "chunk", "t")
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
@@ -209,7 +209,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     classes = known.join(class_of, ["k1", "k2", "n"]).where("id = node").dropDuplicates(["node", "k1", "k2", "n"])
     classes = stored(classes.select("node", "n", "sig"))
     clusters = _clusters(classes.select("node", "sig"), coords, matches)
-    tiles = _tiles(clusters, classes.groupBy("node").agg(F.sum("n").alias("n")))
+    tiles = stored(_tiles(clusters, classes.groupBy("node").agg(F.sum("n").alias("n"))))
     links = confirmed_links(docs, tiles, id_col, text_col, width, percent, coords, matches)
     # rows that share an id are one document: its classes' names are linked with it
     own = known.join(class_of, ["k1", "k2", "n"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
