@@ -5,8 +5,10 @@ The posterior of a language is proportional to
     prior(language | host) * P(text | language)^TEMPER * P(declared | language) * P(suffix | language)
 
 *   P(text | language) is a multinomial model of byte trigrams (hashed to
-    ``BUCKETS``), fitted on at most ``train_rows`` labelled documents taken by a
-    hash of their id.  It is the only part that is fitted on a sample.
+    ``BUCKETS``), fitted on about ``train_rows`` labelled documents taken by a
+    hash of their id, and on some ``LABEL_ROWS`` of each label at least (all, if
+    it has fewer).  It is the only part that is fitted on a sample; which
+    languages there are is told by all rows.
     Trigrams overlap three times, hence ``TEMPER``.
 *   P(declared | language) and P(suffix | language) are counted over all rows,
     each row counting with its text posterior (expected counts), add-one smoothed.
@@ -42,6 +44,8 @@ from resemble.llm.wordhash import text_slices
 
 BUCKETS = 1 << 16
 TRAIN_ROWS = 4_000
+#: rows of a label that the sample has on average at least, or all if there are fewer
+LABEL_ROWS = 100
 TEMPER = 1 / 3
 STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
@@ -82,11 +86,19 @@ def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Languages and the log probability of each bucket; at most ``BUCKETS`` rows a language reach the driver."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("t"), F.xxhash64(F.lit("train"), id_col).alias("h"))
-    total = labelled.count()
+    # the languages are those of all rows
+    kinds = [(r["label"], r["n"]) for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()]
+    names = sorted(label for label, _ in kinds)
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: is {label_col} a language?")
+    total = sum(n for _, n in kinds)
     sample = labelled
     if total > train_rows:
-        # the hash's place between 0 and 1 is below the wanted share
-        sample = labelled.where(F.pmod("h", F.lit(1_000_003)) < F.lit(math.floor(1_000_003 * train_rows / total)))
+        # the hash's place between 0 and 1 is below the wanted share; a rare label's share is larger, up to all its rows
+        shares = [(label, math.ceil(1_000_003 * min(1.0, LABEL_ROWS / n)) if n * train_rows < LABEL_ROWS * total
+                   else math.floor(1_000_003 * train_rows / total)) for label, n in kinds]
+        share = F.broadcast(docs.sparkSession.createDataFrame(shares, "label string, share long"))
+        sample = labelled.join(share, "label").where(F.pmod("h", F.lit(1_000_003)) < F.col("share"))
 
     def count(batches):
         for batch in batches:
@@ -102,9 +114,6 @@ def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     counts = (sample.select("label", "t").mapInArrow(count, "label string, bucket long, n long")
               .groupBy("label", "bucket").agg(F.sum("n").alias("n")))
-    names = sorted(r[0] for r in sample.select("label").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels: is {label_col} a language?")
     table = np.ones((len(names), BUCKETS))
     found = counts.toArrow()
     if len(names):
