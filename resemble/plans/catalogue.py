@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resemble.functions import tokens as tk
-from resemble.functions.metrics import simhash_fingerprints
+from resemble.functions.metrics import cosine_of_sets, simhash_fingerprints
 from resemble.operators import checks as ck
 from resemble.sources.tables import read_table
 
@@ -154,7 +154,6 @@ def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2", "content_3")
 
 
-MAX_COLUMNS = 64
 PAIR_METRICS = "jaccard, Cosine, simhash, levenshtein"
 
 
@@ -173,22 +172,29 @@ def content_triple_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_pairwise_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns of each conversation as content columns, cosine per column pair, one row a pair.
+    """All turns of each conversation against each other, cosine, one row a pair.
 
-    The turns that occur make the columns; a table of more than ``MAX_COLUMNS`` is no batch table.
+    The turns that occur anywhere are the columns of the batch table; a turn that a conversation hasn't counts as
+    empty. Of a repeated turn every row is compared. The pairs are rows, so any number of turns will do.
     """
-    from resemble.sources.content import content_table
-
     conv = table(spark, sf_dir, "conversations")
-    turns = [r[0] for r in conv.select("turn").distinct().orderBy("turn").limit(MAX_COLUMNS + 1).collect()]
-    if len(turns) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} content columns")
-    wide = conv.groupBy("conv_id").pivot("turn", turns).agg(F.min("text"))
-    wide = wide.select("conv_id", *[F.col(f"`{t}`").alias(f"content{t}") for t in turns])
-    out = ck.pairwise_columns(content_table(wide, key="conv_id"), "cosine", row_key="conv_id")
-    names = ck.distance_column_names([f"content{t}" for t in turns])
-    return out.select("conv_id", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("pair"), F.col(f"`{n}`").alias("similarity")) for n in names])).alias("p")).select("conv_id", "p.*")
+    words = tk.with_tokens(conv.select("conv_id", "turn", "text"), "text", "t", stem=True)
+    # read by one join only, whose sides share one exchange
+    sets = words.select("conv_id", "turn", F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")).alias("set"))
+    turns = conv.select("turn").distinct()
+    columns = turns.withColumnRenamed("turn", "i").join(turns.withColumnRenamed("turn", "j"), F.col("i") < F.col("j"))
+    def side(rows: DataFrame, at: str, value: str) -> DataFrame:
+        return rows.select("conv_id", F.col("turn").alias(at), F.col(value).alias(f"{value}_{at}"))
+
+    met = side(sets, "i", "set").join(side(sets, "j", "set"), "conv_id").where("i < j")
+    met = met.select("conv_id", "i", "j", cosine_of_sets(F.col("set_i"), F.col("set_j")).cast("double").alias("similarity"))
+    # a side that is missing counts as empty and gives 0, as often as the other side has rows
+    counts = conv.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    cells = conv.select("conv_id").distinct().crossJoin(columns)
+    cells = cells.join(side(counts, "i", "n"), ["conv_id", "i"], "left").join(side(counts, "j", "n"), ["conv_id", "j"], "left")
+    cells = cells.where("n_i is null or n_j is null").withColumn("_", F.explode(F.sequence(F.lit(1), F.coalesce("n_i", "n_j", F.lit(1)))))
+    rows = met.union(cells.select("conv_id", "i", "j", F.lit(0.0)))
+    return rows.select("conv_id", F.concat(F.lit("Distance-content"), "i", F.lit("-content"), "j").alias("pair"), "similarity")
 
 
 @query
