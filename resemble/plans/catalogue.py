@@ -542,11 +542,11 @@ def near_dup_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as a file stream; per user, accesses that miss a 24 h fixed-expiry cache."""
-    from resemble.streaming.streams import file_stream, frontier_stream, run_to_table
+    """The event log as a file stream in time order; per user, accesses that miss a 24 h fixed-expiry cache."""
+    from resemble.streaming.streams import frontier_in_time_order
 
-    log = file_stream(spark, sf_dir, "events")
-    out = run_to_table(frontier_stream(log, "user_id", "ts", "event_id", REPLAY_TTL), "frontier")
+    log = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("user_id", "event_id", "ts")
+    out = frontier_in_time_order(log, "user_id", "ts", "event_id", REPLAY_TTL)
     return out.select(F.col("key").alias("user_id"), "event_id")
 
 

@@ -10,7 +10,8 @@ X2 keeps, per key, only the time of the last fetch as state
 (``applyInPandasWithState``): one long per key, whatever the key's traffic.
 Within a micro-batch a key's rows are sorted by event time; a row arriving in
 a later batch with an older time is judged against the newer state (no
-reordering across batches).  ``dropDuplicatesWithinWatermark`` is not the same
+reordering across batches), so ``frontier_in_time_order`` gives a whole log to
+the stream in slices of time.  ``dropDuplicatesWithinWatermark`` is not the same
 rule: its expiry is driven by the watermark, not by the fetch time.
 """
 
@@ -112,6 +113,32 @@ def frontier_stream(log: DataFrame, key: str, ts: str, event_id: str, ttl_second
         GroupStateTimeout.EventTimeTimeout)
 
 
+def frontier_in_time_order(log: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int, files_per_slice: int = 16) -> DataFrame:
+    """X2 over a whole log, whatever the order of its files.
+
+    The log is cut into slices of time, of about ``files_per_slice`` of its files each; rows of one time are in one
+    slice. The slices are given to the stream one after the other, the next one when the last one's rows are done. So
+    no row comes after a later slice's, and the watermark drops none.
+    """
+    spark = log.sparkSession
+    root = _run_dir(spark, "frontier")
+    n = -(-len(log.inputFiles()) // files_per_slice)
+    log = log.select(key, ts, event_id)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = log.agg(F.percentile_approx(t, [i / n for i in range(1, n)])).first()[0] or [] if n > 1 else []
+    place = F.lit(0)
+    for cut in sorted(set(cuts)):
+        place = place + F.coalesce((t > cut).cast("int"), F.lit(0))
+    log.withColumn("slice", place).write.partitionBy("slice").parquet(f"{root}/slices")
+    parts = spark.read.parquet(f"{root}/slices")
+    for i in sorted(r[0] for r in parts.select("slice").distinct().collect()):
+        # one batch: the files of a slice are in no order
+        parts.where(F.col("slice") == i).drop("slice").coalesce(files_per_slice).write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        out = run_to_table(frontier_stream(stream, key, ts, event_id, ttl_seconds), "frontier", path=root)
+    return out if n else spark.createDataFrame([], FRONTIER_SCHEMA)
+
+
 # --- X3 -----------------------------------------------------------------------------
 
 def progress_stream(job_rows: DataFrame) -> DataFrame:
