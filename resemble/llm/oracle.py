@@ -93,3 +93,33 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
        sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN g USING (r)
 """
+
+# crc32 of the distinct words, byte by byte, with a table made by the checksum's rule
+ORACLE["op11_importance_resampling"] = r"""
+WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+        list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM b GROUP BY w),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+byte(w, i, x) AS (SELECT w, unnest(range(1, strlen(w) + 1)), unnest(list_transform(range(1, strlen(w) + 1),
+          lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT)) FROM v),
+seq AS (SELECT w, list(x ORDER BY i) AS xs FROM byte GROUP BY w),
+h AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, xs),
+          lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS k FROM seq, tab),
+s AS (SELECT k, sum(n) AS n FROM dw JOIN h USING (w) GROUP BY k),
+t AS (SELECT k, sum(n) AS n FROM bw JOIN h USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+          / ((s.n::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+m AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM dw JOIN h USING (w) JOIN g USING (k) GROUP BY r),
+x AS (SELECT r, doc_id, len(w)::BIGINT AS n, coalesce(weight, 0) AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash FROM d LEFT JOIN m USING (r)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((hash + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY n >= 20) AS total FROM y)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 AND k <= total * 10 // 100 THEN k END AS "rank" FROM z
+"""

@@ -12,6 +12,7 @@ from resemble.llm.langid import address_suffix, declared_language, domain_of, fi
 from resemble.llm.linededup import dedup_lines
 from resemble.llm.mixing import mix_counts
 from resemble.llm.neardup import near_groups
+from resemble.llm.resample import importance_resample
 from resemble.llm.sketch import fingerprints
 from resemble.llm.substrings import remove_repeats
 from resemble.llm.urlfilter import judge_urls
@@ -82,6 +83,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", spread_text=False).select("doc_id", "text")
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return importance_resample(docs, target).drop("n_words")
+
+
 QUERIES = {
     "op6_bwt_substring_dedup": op6_bwt_substring_dedup,
     "op1_html_text_density": op1_html_text_density,
@@ -93,4 +100,5 @@ QUERIES = {
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
 }
