@@ -19,7 +19,15 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once, written as a table to the shared checkpoint folder and read back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` gave and nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: rows of a stored table that may be broadcast: a few numbers each, so some tens of MB

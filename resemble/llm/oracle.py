@@ -123,3 +123,18 @@ y AS (SELECT *, weight + floor(-1000 * ln(-ln((hash + 0.5)::DOUBLE / 4294967296)
 z AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY n >= 20) AS total FROM y)
 SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 AND k <= total * 10 // 100 THEN k END AS "rank" FROM z
 """
+
+ORACLE["op13_hard_negatives"] = r"""
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT a.id AS anchor_id, b.id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS "rank",
+       id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY "rank" <= 5
+"""

@@ -12,6 +12,7 @@ from resemble.llm.langid import address_suffix, declared_language, domain_of, fi
 from resemble.llm.linededup import dedup_lines
 from resemble.llm.mixing import mix_counts
 from resemble.llm.neardup import near_groups
+from resemble.llm.negatives import hard_negatives, quantised
 from resemble.llm.resample import importance_resample
 from resemble.llm.sketch import fingerprints
 from resemble.llm.substrings import remove_repeats
@@ -89,6 +90,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(docs, target).drop("n_words")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(quantised(vectors.withColumn("label", label)))
+
+
 QUERIES = {
     "op6_bwt_substring_dedup": op6_bwt_substring_dedup,
     "op1_html_text_density": op1_html_text_density,
@@ -101,4 +108,5 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
