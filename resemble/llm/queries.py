@@ -10,6 +10,7 @@ from resemble.llm.decontaminate import find_benchmark, judged
 from resemble.llm.htmltext import extract_main_text
 from resemble.llm.langid import address_suffix, declared_language, domain_of, fit_text_model, identify
 from resemble.llm.linededup import dedup_lines
+from resemble.llm.lmscore import lm_scores
 from resemble.llm.mixing import mix_counts
 from resemble.llm.neardup import near_groups
 from resemble.llm.negatives import hard_negatives, quantised
@@ -85,11 +86,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", spread_text=False).select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     return importance_resample(docs, target).drop("n_words")
 
 
+def op12_bloom_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -108,5 +113,6 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_bloom_lm_scoring": op12_bloom_lm_scoring,
     "op13_hard_negatives": op13_hard_negatives,
 }
