@@ -47,14 +47,14 @@ from resemble.llm.wordhash import NON_SPACE, mix, split_words, text_slices
 
 #: base of the levels, probes an event and bits an event
 LEVEL_BASE = 1.5
-HASHES = 6
+HASHES = 5
 EVENT_BITS = 10
-SEGMENT_KEYS = 1 << 20
+SEGMENT_KEYS = 1 << 19
 #: bytes of the filter that are broadcast at one time
 BLOCK_BYTES = 128 << 20
 HOT_TOKENS = 1 << 18
 #: tokens that are added up before they are handed to Spark
-BATCH_TOKENS = 4 << 20
+BATCH_TOKENS = 2 << 20
 SLICE_BYTES = 1 << 20
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -78,10 +78,15 @@ def level_counts(base: float = LEVEL_BASE) -> np.ndarray:
 
 # --- the filter ---------------------------------------------------------------
 
-def _place(keys: np.ndarray, level: int, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
-    """The bit of a probe of the events (key, level) among ``size`` bits."""
-    hashes = mix(keys + np.uint64((level * HASHES + probe) * _LEVEL & MASK))
-    return ((hashes >> np.uint64(32)) * size) >> np.uint64(32)
+def _event(keys: np.ndarray, level: int) -> np.ndarray:
+    """The hash of the events (key, level)."""
+    return mix(keys + np.uint64(level * _LEVEL & MASK))
+
+
+def _place(events: np.ndarray, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """The bit of an event's probe among ``size`` bits: the upper half of the hash, moved on by its odd lower half."""
+    upper, lower = events >> np.uint64(32), (events & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    return (((upper + np.uint64(probe) * lower) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
 
 def segment_bits(keys: np.ndarray, counts: np.ndarray, base: float = LEVEL_BASE) -> np.ndarray:
@@ -90,9 +95,9 @@ def segment_bits(keys: np.ndarray, counts: np.ndarray, base: float = LEVEL_BASE)
     size = max(64, -(-int(levels.sum()) * EVENT_BITS // 8) * 8)
     flags = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        there = keys[levels >= level]
+        events = _event(keys[levels >= level], level)
         for probe in range(HASHES):
-            flags[_place(there, level, probe, np.uint64(size))] = True
+            flags[_place(events, probe, np.uint64(size))] = True
     return np.packbits(flags, bitorder="little")
 
 
@@ -118,13 +123,23 @@ def probe_levels(block: tuple, keys: np.ndarray, found: np.ndarray) -> None:
     level = 0
     while len(alive):
         level += 1
+        events, seg = _event(keys[alive], level), part[alive]
+        base, width = start[seg], size[seg]
         for probe in range(HASHES):
-            seg = part[alive]
-            at = start[seg] + _place(keys[alive], level, probe, size[seg])
-            alive = alive[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0]
+            at = base + _place(events, probe, width)
+            yes = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+            alive, events, base, width = alive[yes], events[yes], base[yes], width[yes]
         found[alive] = level
 
 
+def _found(block: tuple, distinct: np.ndarray, back: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The levels of keys ``distinct[back]``, each distinct one probed once; those of other blocks as they were."""
+    level = np.zeros(len(distinct), np.uint8)
+    level[back] = levels
+    probe_levels(block, distinct, level)
+    return level[back]
+
+
 # --- tokens -------------------------------------------------------------------
 
 def _sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,11 +281,8 @@ def _pass(state: DataFrame, block, hot, numbers: dict, last: bool) -> DataFrame:
                     for i in range(lo, hi):
                         levels[:, starts[i - lo]:starts[i - lo] + counts[i - lo]] = np.frombuffer(had[i].as_py(), np.uint8).reshape(2, -1)
                 distinct, back = np.unique(tokens, return_inverse=True)
-                level = np.zeros(len(distinct), np.uint8)
-                level[back] = levels[0]
-                probe_levels(block.value, _single(distinct), level)
-                levels[0] = level[back]
-                probe_levels(block.value, _pairs(tokens, starts), levels[1])
+                levels[0] = _found(block.value, _single(distinct), back, levels[0])
+                levels[1] = _found(block.value, *np.unique(_pairs(tokens, starts), return_inverse=True), levels[1])
                 part = batch.slice(lo, hi - lo)
                 if not last:
                     cuts = zip(starts, starts + counts)
