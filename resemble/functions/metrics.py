@@ -71,19 +71,24 @@ def token_hash64(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 17, 16), 16, -10).cast("long")
 
 
-def simhash_fingerprints(df: DataFrame, keys: list[str], tokens: str, out: str = "fingerprint") -> DataFrame:
-    """A5: one 64-bit fingerprint per key from its token list (duplicates weigh more).
+def with_fingerprint(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """A5: the 64-bit fingerprint of each row's token list (duplicates weigh more) as a new column.
 
     Bit i is set when the signed sum of bit i over all token hashes is > 0
     (Charikar 2002), that is when more than half of the hashes have it.
-    Native: explode, then 32 sums with partial aggregation; each counts two bits
-    in the halves of a long.  Empty token lists give 0.
+    Row-local: 32 counters over the hashes, each for two bits in the halves of a
+    long, so nothing is exploded, shuffled or joined back.  An empty list gives 0.
     """
-    exploded = df.select(*keys, F.explode_outer(tokens).alias("_t"))
-    hashed = exploded.select(*keys, F.when(F.col("_t").isNotNull(), token_hash64(F.col("_t"))).alias("_h"))
-    sums = ", ".join(f"coalesce(sum(shiftrightunsigned(_h, {j}) & {_HALVES}L), 0L)" for j in range(32))
-    agg = hashed.groupBy(*keys).agg(F.expr(f"array({sums})").alias("_b"), F.count("_h").alias("_n"))
-    return agg.select(*keys, F.expr(_fingerprint_from_sums("_b", "_n")).alias(out), F.col("_n").alias(out + "_n"))
+    # the hashes are a projection of their own: the counters refer to them, so they are computed once
+    hashed = df.withColumn("_h", F.transform(tokens, token_hash64))
+    counts = ", ".join(f"aggregate(_h, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {_HALVES}L))" for j in range(32))
+    return hashed.withColumn("_b", F.expr(f"array({counts})")) \
+        .withColumn(out, F.expr(_fingerprint_from_sums("_b", "cast(size(_h) as bigint)"))).drop("_h", "_b")
+
+
+def simhash_fingerprints(df: DataFrame, keys: list[str], tokens: str, out: str = "fingerprint") -> DataFrame:
+    """A5: the keys, the fingerprint of their token list and its length (``out_n``)."""
+    return with_fingerprint(df, tokens, out).select(*keys, out, F.size(tokens).cast("long").alias(out + "_n"))
 
 
 _HALVES = (1 << 32) + 1
@@ -165,6 +170,8 @@ class Metric:
     prepare: Callable[[DataFrame, list[str], str, str], DataFrame]
     compare: Callable[[str, str], Column]
     feature_names: tuple[str, ...]
+    #: whether scores are rounded, so that they take few values
+    rounded: bool = True
 
 
 def prepare_set(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
@@ -176,12 +183,7 @@ def _prepare_fuzzy(df: DataFrame, keys: list[str], tokens: str, prefix: str) ->
 
 
 def _prepare_simhash(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
-    from resemble.session import materialize
-
-    df = materialize(df)  # read twice below (aggregate and join back): tokenise once
-    fps = simhash_fingerprints(df.select(*keys, tokens), keys, tokens, out=prefix + "fp").drop(prefix + "fp_n")
-    with_n = df.withColumn(prefix + "n", F.size(F.col(tokens)))
-    return with_n.join(fps, on=keys, how="left")
+    return with_fingerprint(df, tokens, prefix + "fp").withColumn(prefix + "n", F.size(F.col(tokens)))
 
 
 _REGISTRY: dict[str, Metric] = {}

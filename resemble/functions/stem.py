@@ -1,4 +1,4 @@
-"""Suffix-stripping stemmer (T3) as native Column expressions over whole token lists.
+"""Suffix-stripping stemmer (T3), one look-up per token.
 
 Porter's 1980 algorithm (steps 1a to 5b) with the extensions that the pinned
 English stemmer uses: words of one or two letters and a short list of
@@ -8,97 +8,168 @@ consonant that is not the first letter; ``alli`` is stripped before the other
 rules of step 2, which then run on the result; ``fulli`` becomes ``ful``; the l
 of ``logi`` counts as part of the stem.
 
-The tokens of one text are joined by line feeds and each rule is one regular
-expression over all lines, so no Python runs and no token moves.  The patterns
-use only what Java and RE2 share; the DuckDB twins run the same ones.
-
-Tokens are lower-case, so upper-case letters serve as marks: ``Y`` is a y that
-counts as a consonant, ``S`` stands between a stem and the step's suffix, ``P``
-there if the stem has the measure, ``T`` before a word that lost ``ed`` or
-``ing``, ``U`` before one with a doubled consonant, ``X`` after a word that is
-done with this step, ``Z`` after one that is done altogether.
+The rules work on a word and its *form*, a string of ``c`` and ``v`` for its
+consonants and vowels; the measure of a stem is the number of ``vc`` in its
+form.  A corpus repeats its words, so a task keeps a dictionary of the words it
+has met: each distinct one is stemmed once, all others are one look-up.  The
+dictionary is emptied at ``MEMO_WORDS`` words, which bounds it in any corpus.
+Token lists travel as one string a text, joined by line feeds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # The rule tables and the irregular forms of the algorithm.
 # ---------------------------------------------------------------------------
-UNCHANGED = "sky news inning outing canning howe proceed exceed succeed"
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "inning": "inning", "innings": "inning", "outing": "outing", "outings": "outing",
+    "canning": "canning", "cannings": "canning",
+    "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
 STEP2 = {
-    "ate": "ational ation ator", "tion": "tional", "ence": "enci", "ance": "anci", "ize": "izer ization",
-    "ble": "bli biliti", "al": "alli alism aliti", "ent": "entli", "e": "eli", "ous": "ousli ousness",
-    "ive": "iveness iviti", "ful": "fulness fulli", "log": "logi",
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al",
+    "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al",
+    "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+    "fulli": "ful", "logi": "log",
 }
-STEP3 = {"ic": "icate iciti ical", "al": "alize", "": "ative ful ness"}
-STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-DOUBLED = "bcdfghjkmnpqrtvwx0123456789àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+         "ous", "ive", "ize")
 # ---------------------------------------------------------------------------
 
-A, V, C, K = r"[^\n]", "[aeiouy]", r"[^aeiouy\n]", r"[^aeiouywxY\n]"
-M1 = f"{C}*{V}+{C}"            # a stem that begins so has measure 1 or more
-M2 = f"{C}*{V}+{C}+{V}+{C}"    # measure 2 or more
-
-
-def _either(words: str) -> str:
-    """One pattern for a list of words that tries each first letter once: ``ate able`` is ``a(?:te|ble)``."""
-    heads: dict[str, list[str]] = {}
-    for w in words.split():
-        heads.setdefault(w[0], []).append(w[1:])
-    parts = []
-    for head, tails in heads.items():
-        rest = _either(" ".join(t for t in tails if t))
-        parts.append(head + (f"(?:{rest})" if rest else "") + ("?" if rest and "" in tails else ""))
-    return "|".join(parts)
-
-
-def _suffix_step(measure: str, rules: dict[str, str]) -> list[tuple[str, str]]:
-    """Longest suffix of a step: S before it, P where the stem has the measure; then P and the suffix become the new ending."""
-    steps = [(f"({_either(' '.join(rules.values()))})$", "S$1"), (f"^({measure}{A}*)S", "$1P")]
-    return steps + [(f"P(?:{_either(old)})$", new) for new, old in rules.items()] + [("[SP]", "")]
-
-
-def stem_steps() -> list[tuple[str, str]]:
-    """``(pattern, replacement)`` pairs in order; patterns are multi-line, ``$1`` is the first group."""
-    doubled = "|".join(c + c for c in DOUBLED)
-    step2 = _suffix_step(M1, STEP2)
-    step4 = _suffix_step(M2, {"": " ".join(s for s in STEP4.split() if s != "ion")})
-    return [
-        (f"^({A}{{1,2}})$", "$1Z"), (f"^({_either(UNCHANGED)})$", "$1Z"), ("^(inning|outing|canning)s$", "$1Z"),
-        ("^skies$", "skyZ"), ("^([dlt])ying$", "$1ieZ"),
-        ("^y", "Y"), (f"({V})y", "$1Y"),
-        # 1a
-        (f"^({A})ies$", "$1ieX"), ("sses$", "ssX"), ("ies$", "iX"), ("ss$", "ssX"), ("s$", ""), ("X$", ""),
-        # 1b
-        (f"^({A})ied$", "$1ieX"), ("ied$", "iX"), (f"^({M1}{A}*)eed$", "$1eeX"), ("eed$", "eedX"),
-        (f"^({C}*{V}{A}*)(?:ed|ing)$", "T$1"), (f"^T({A}*(?:at|bl|iz))$", "$1eX"),
-        (f"^T({A}*(?:{doubled}))$", "U$1"), (f"^U({A}*){A}$", "$1X"), (f"^T({A}*(?:ll|ss|zz))$", "$1X"),
-        (f"^T({C}+{V}{K}|{V}{C})$", "$1eX"), ("^T", ""), ("X$", ""),
-        # 1c
-        (f"^({A}+{C})y$", "$1i"),
-        # 2: first the rule that the others run after; then the one whose l counts as the stem's
-        (f"^({M1}{A}*)alli$", "$1al"), step2[0], (f"^({C}*{V}+(?:{C}{A}*)?)Slogi$", "$1log"), *step2[1:],
-        # 3
-        *_suffix_step(M1, STEP3),
-        # 4: ion only after s or t
-        (f"({_either(STEP4)})$", "S$1"), step4[1], ("([st])Pion$", "$1"), *step4[2:],
-        # 5a, 5b
-        (f"^({M2}{A}*)e$", "$1X"), (f"^({A}*{C}{V}{K}e|{V}{C}e)$", "$1X"), (f"^({M1}{C}*{V}*)e$", "$1X"), ("X$", ""),
-        (f"^({C}*{V}+{C}+{V}+(?:{C}{A}*)?l)l$", "$1"),
-        ("Z$", ""),
-    ]
-
-
-def stem_lines(lines: Column) -> Column:
-    """Stem each line of a string of lower-case tokens."""
-    for pattern, new in stem_steps():
-        lines = F.regexp_replace(lines, "(?md)" + pattern, new)
-    return F.lower(lines)
+#: distinct words that a task remembers
+MEMO_WORDS = 1_000_000
+
+
+def form(word: str) -> str:
+    """``v`` for each vowel, ``c`` for all else; y is a vowel after a consonant."""
+    out, last = [], "v"
+    for letter in word:
+        last = "v" if letter in "aeiou" or (letter == "y" and last == "c") else "c"
+        out.append(last)
+    return "".join(out)
+
+
+def measure(stem: str) -> int:
+    return form(stem).count("vc")
+
+
+def _short_end(stem: str) -> bool:
+    """``*o``: a consonant, a vowel and a consonant but w, x, y at the end; or only a vowel and a consonant."""
+    f = form(stem)
+    return f == "vc" or (f.endswith("cvc") and stem[-1] not in "wxy")
+
+
+def _longest(word: str, suffixes) -> str | None:
+    """The longest of the suffixes that the word ends in."""
+    found = [s for s in suffixes if word.endswith(s)]
+    return max(found, key=len) if found else None
+
+
+def _plural(word: str) -> str:
+    """Step 1a."""
+    if word.endswith("ies"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("sses"):
+        return word[:-2]
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+
+def _past(word: str) -> str:
+    """Step 1b: eed, ied, ed and ing."""
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]
+    if word.endswith("eed"):
+        return word[:-1] if measure(word[:-3]) else word
+    end = _longest(word, ("ed", "ing"))
+    if end is None or "v" not in form(word[:-len(end)]):
+        return word
+    stem = word[:-len(end)]
+    if stem.endswith(("at", "bl", "iz")):
+        return stem + "e"
+    f = form(stem)
+    if len(stem) > 1 and stem[-1] == stem[-2] and f[-1] == "c":
+        return stem if stem[-1] in "lsz" else stem[:-1]
+    return stem + "e" if f.count("vc") == 1 and _short_end(stem) else stem
+
+
+def _final_y(word: str) -> str:
+    """Step 1c."""
+    return word[:-1] + "i" if word.endswith("y") and len(word) > 2 and form(word)[-2] == "c" else word
+
+
+def _double_suffix(word: str) -> str:
+    """Step 2."""
+    if word.endswith("alli") and measure(word[:-4]):
+        return _double_suffix(word[:-2])
+    end = _longest(word, STEP2)
+    if end is None:
+        return word
+    stem = word[:-len(end)]
+    return stem + STEP2[end] if measure(stem + "l" if end == "logi" else stem) else word
+
+
+def _more_suffix(word: str) -> str:
+    """Step 3."""
+    end = _longest(word, STEP3)
+    return word[:-len(end)] + STEP3[end] if end is not None and measure(word[:-len(end)]) else word
+
+
+def _last_suffix(word: str) -> str:
+    """Step 4: the suffix goes after a measure above 1; ion only after s or t."""
+    end = _longest(word, STEP4)
+    if end is None:
+        return word
+    stem = word[:-len(end)]
+    return stem if measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))) else word
+
+
+def _final_e(word: str) -> str:
+    """Steps 5a and 5b."""
+    if word.endswith("e"):
+        m = measure(word[:-1])
+        if m > 1 or (m == 1 and not _short_end(word[:-1])):
+            word = word[:-1]
+    return word[:-1] if word.endswith("ll") and measure(word[:-1]) > 1 else word
+
+
+def stem_word(word: str) -> str:
+    """The stem of one lower-case token."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    if len(word) <= 2:
+        return word
+    for step in (_plural, _past, _final_y, _double_suffix, _more_suffix, _last_suffix, _final_e):
+        word = step(word)
+    return word
+
+
+class _Memo(dict):
+    """Stems of the words met so far."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = out = stem_word(word)
+        return out
+
+
+@F.pandas_udf(T.StringType())
+def stem_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Each line of a string of tokens stemmed."""
+    stems = _Memo()
+    for texts in batches:
+        yield pd.Series([None if text is None else "\n".join(map(stems.__getitem__, text.split("\n"))) for text in texts], dtype="object")
 
 
 def stem_tokens(tokens: Column) -> Column:
-    """Stem every token of an ``array<string>`` column; empty stems are dropped."""
+    """Stem every token of an ``array<string>`` column that isn't null; empty stems are dropped."""
     return F.array_remove(F.split(stem_lines(F.array_join(tokens, "\n")), "\n"), "")

@@ -136,14 +136,14 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
         F.when(error.isNull(), m.compare("m_", "s_")).cast("double").alias("similarity"),
         error.alias("error"),
     )
-    return rank_results(out, sort=sort)
+    return rank_results(out, sort=sort, rounded=m.rounded)
 
 
-def rank_results(df: DataFrame, sort: bool = True, key: str = "sub_key") -> DataFrame:
+def rank_results(df: DataFrame, sort: bool = True, key: str = "sub_key", rounded: bool = True) -> DataFrame:
     """Competition rank per check (messages first) and an optional global sort."""
     # the scores feed the histogram and the join back: compute them once
     scored = materialize(df.withColumn("_o", order_score(F.col("similarity"), F.col("error"))))
-    ranked = competition_rank(scored, ["check_id"], "_o")
+    ranked = competition_rank(scored, ["check_id"], "_o", rounded=rounded)
     if sort:
         ranked = ranked.orderBy(F.col("check_id"), F.col("_o").desc(), F.col(key))
     return ranked.drop("_o")
@@ -266,3 +266,24 @@ def pairwise_columns(table: DataFrame, metric: str | None = "cosine", unit: str
             dist[names[k]] = m.compare(f"c{i}_", f"c{j}_").cast("double")
             k += 1
     return cur.select(*table.columns, *[v.alias(n) for n, v in dist.items()])
+
+
+def pairwise_cells(cells: DataFrame, row: str, column: str, content: str, metric: str | None = "cosine", unit: str = "word",
+                   min_ngram: int = 1, max_ngram: int = 1, stem: bool = True) -> DataFrame:
+    """J3 in long form: ``(row, left, right, similarity)`` for every two cells of a row of the batch table.
+
+    ``cells`` holds one row a cell: the table's row, the column's number or name
+    and the content.  Pairs are formed by an equi-join on the row, so a table may
+    have any number of columns and each row its own; a column that a row lacks
+    forms no pair (its similarity is fixed at 0).  Of a cell that occurs more than
+    once each is compared with the cells of other columns.
+    """
+    m = get_metric(metric)
+    tok = dict(unit=unit, min_ngram=min_ngram, max_ngram=max_ngram, stem=stem)
+    base = cells.select(F.col(row).alias("row"), F.col(column).alias("at"), F.col(content).alias("content"))
+    toks = with_tokens(base, "content", "_tokens", **tok)
+    feats = prepare_features(toks, ["row", "at"], "_tokens", "l_", [m]).select("row", "at", *feature_columns("l_", [m]))
+    feats = materialize(feats)  # both sides read it
+    right = feats.select("row", F.col("at").alias("right"), *[F.col(c).alias("r_" + c[2:]) for c in feature_columns("l_", [m])])
+    met = feats.withColumnRenamed("at", "left").join(right, "row").where("left < right")
+    return met.select(F.col("row").alias(row), "left", "right", m.compare("l_", "r_").cast("double").alias("similarity"))

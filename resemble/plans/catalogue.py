@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resemble.functions import tokens as tk
-from resemble.functions.metrics import cosine_of_sets, simhash_fingerprints
+from resemble.functions.metrics import simhash_fingerprints
 from resemble.operators import checks as ck
+from resemble.operators.order import consecutive
 from resemble.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,23 +135,17 @@ QUERIES["simhash_fingerprints"] = QUERIES.pop("simhash_fingerprints_q")
 
 # --- pairs, triples, cross checks, batch columns ------------------------------
 
-def _turn(conv: DataFrame, offset: int, name: str) -> DataFrame:
-    return conv.select("conv_id", (F.col("turn") - offset).alias("turn"), F.col("text").alias(name))
-
-
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content pairs: every turn and the next one."""
-    conv = table(spark, sf_dir, "conversations")
-    pairs = _turn(conv, 0, "content_1").join(_turn(conv, 1, "content_2"), ["conv_id", "turn"])
+    """Content pairs: every turn of a conversation and the one that follows it, whatever its number."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    pairs = consecutive(conv, ["turn", "text"], {"text": ["content_1", "content_2"], "turn": ["turn"]}, "conv_id")
     return pairs.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2")
 
 
 def conversation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content triples: every turn and the two after it."""
-    conv = table(spark, sf_dir, "conversations")
-    t = (_turn(conv, 0, "content_1")
-         .join(_turn(conv, 1, "content_2"), ["conv_id", "turn"])
-         .join(_turn(conv, 2, "content_3"), ["conv_id", "turn"]))
+    """Content triples: every turn of a conversation and the two that follow it."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    t = consecutive(conv, ["turn", "text"], {"text": ["content_1", "content_2", "content_3"], "turn": ["turn"]}, "conv_id")
     return t.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "content_1", "content_2", "content_3")
 
 
@@ -172,40 +167,30 @@ def content_triple_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_pairwise_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns of each conversation against each other, cosine, one row a pair.
-
-    The turns that occur anywhere are the columns of the batch table; a turn that a conversation hasn't counts as
-    empty. Of a repeated turn every row is compared. The pairs are rows, so any number of turns will do.
-    """
-    conv = table(spark, sf_dir, "conversations")
-    words = tk.with_tokens(conv.select("conv_id", "turn", "text"), "text", "t", stem=True)
-    # read by one join only, whose sides share one exchange
-    sets = words.select("conv_id", "turn", F.coalesce(F.array_distinct("t"), F.array().cast("array<string>")).alias("set"))
-    turns = conv.select("turn").distinct()
-    columns = turns.withColumnRenamed("turn", "i").join(turns.withColumnRenamed("turn", "j"), F.col("i") < F.col("j"))
-    def side(rows: DataFrame, at: str, value: str) -> DataFrame:
-        return rows.select("conv_id", F.col("turn").alias(at), F.col(value).alias(f"{value}_{at}"))
-
-    met = side(sets, "i", "set").join(side(sets, "j", "set"), "conv_id").where("i < j")
-    met = met.select("conv_id", "i", "j", cosine_of_sets(F.col("set_i"), F.col("set_j")).cast("double").alias("similarity"))
-    # a side that is missing counts as empty and gives 0, as often as the other side has rows
-    counts = conv.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
-    cells = conv.select("conv_id").distinct().crossJoin(columns)
-    cells = cells.join(side(counts, "i", "n"), ["conv_id", "i"], "left").join(side(counts, "j", "n"), ["conv_id", "j"], "left")
-    cells = cells.where("n_i is null or n_j is null").withColumn("_", F.explode(F.sequence(F.lit(1), F.coalesce("n_i", "n_j", F.lit(1)))))
-    rows = met.union(cells.select("conv_id", "i", "j", F.lit(0.0)))
-    return rows.select("conv_id", F.concat(F.lit("Distance-content"), "i", F.lit("-content"), "j").alias("pair"), "similarity")
+    """J3 in long form: the turns of each conversation are its cells; every two it has are compared, one row a pair."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
+    return ck.pairwise_cells(conv, "conv_id", "turn", "content", "cosine").select(
+        "conv_id", F.concat(F.lit("Distance-content"), "left", F.lit("-content"), "right").alias("pair"), "similarity")
+
+
+@query
+def batch_table_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch table, three content columns a row (turns in a row), a distance column for every two."""
+    out = ck.pairwise_columns(conversation_triples(spark, sf_dir), "jaccard", row_key="pair_id")
+    return out.select("pair_id", *ck.distance_column_names(["content_1", "content_2", "content_3"]))
+
+
+def consecutive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross checks: every document, the next and the one after it in order of id."""
+    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    trip = consecutive(ids, ["doc_id"], {"doc_id": ["key_1", "key_2", "key_3"]})
+    return trip.select(F.col("key_1").alias("check_id"), "key_1", "key_2", "key_3")
 
 
 @query
 def cross_check_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every three consecutive documents, pairs 12, 23, 13, cosine."""
-    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
-    trip = (ids.select(F.col("doc_id").alias("key_1"))
-            .join(ids.select(F.col("doc_id").alias("key_2")), F.col("key_2") == F.col("key_1") + 1)
-            .join(ids.select(F.col("doc_id").alias("key_3")), F.col("key_3") == F.col("key_1") + 2))
-    checks = trip.select(F.col("key_1").alias("check_id"), "key_1", "key_2", "key_3")
-    return ck.cross_check(checks, documents_corpus(spark, sf_dir), "cosine")
+    return ck.cross_check(consecutive_documents(spark, sf_dir), documents_corpus(spark, sf_dir), "cosine")
 
 
 # --- Python-backed stages ------------------------------------------------------
@@ -297,9 +282,8 @@ def page_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 on pages: every three consecutive pages, all visible text, cosine."""
     ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url")
-    a, b, c = (ids.select(F.col("page_id").alias(f"p{i}"), F.col("url").alias(f"key_{i}")) for i in (1, 2, 3))
-    trip = a.join(b, F.col("p2") == F.col("p1") + 1).join(c, F.col("p3") == F.col("p1") + 2)
-    checks = trip.select(F.col("p1").alias("check_id"), "key_1", "key_2", "key_3")
+    trip = consecutive(ids, ["page_id"], {"page_id": ["check_id"], "url": ["key_1", "key_2", "key_3"]})
+    checks = trip.select("check_id", "key_1", "key_2", "key_3")
     return ck.cross_check(checks, page_corpus(pages_table(spark, sf_dir), "all_text"), "cosine")
 
 
@@ -478,12 +462,12 @@ def one_vs_many_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9 with many mains: benchmark items against all documents, cosine ≥ 20 (prefix-filtered R-S join)."""
-    from resemble.operators.simjoin import set_join_rs
+    """J9 with many mains: benchmark items against all documents, cosine ≥ 20 (packed index of the items)."""
+    from resemble.operators.postings import many_mains_overlap
 
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("content"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
-    return set_join_rs(items, docs, "cosine", BENCHMARK_THRESHOLD)
+    return many_mains_overlap(items, docs, "cosine", BENCHMARK_THRESHOLD)
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k):
@@ -604,11 +588,8 @@ def content_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resemble.session import checkpoint_dir
     from resemble.sources.content import read_content_table, result_name, write_result_table
 
-    pairs = conversation_pairs(spark, sf_dir)
-    # a record is one line: line feeds and tabs inside a text become spaces
-    flat = pairs.select("pair_id", *[F.translate(c, "\n\r\t", "   ").alias(c) for c in ("content_1", "content_2")])
     path = f"{checkpoint_dir(spark).rstrip('/')}/{result_name('pairs.txt', uuid.uuid4().hex)}"
-    write_result_table(flat, path)
+    write_result_table(conversation_pairs(spark, sf_dir), path)
     return read_content_table(spark, path)
 
 
@@ -616,11 +597,7 @@ def content_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_check_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every three consecutive documents where some pages failed, Jaccard."""
     _, corpus = checks_per_source(spark, sf_dir)
-    ids = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
-    trip = (ids.select(F.col("doc_id").alias("key_1"))
-            .join(ids.select(F.col("doc_id").alias("key_2")), F.col("key_2") == F.col("key_1") + 1)
-            .join(ids.select(F.col("doc_id").alias("key_3")), F.col("key_3") == F.col("key_1") + 2))
-    return ck.cross_check(trip.select(F.col("key_1").alias("check_id"), "key_1", "key_2", "key_3"), corpus, "jaccard")
+    return ck.cross_check(consecutive_documents(spark, sf_dir), corpus, "jaccard")
 
 
 @query

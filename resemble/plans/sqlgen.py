@@ -8,8 +8,8 @@ patterns use).  They exist only to write the independent twin queries in
 
 from __future__ import annotations
 
-from resemble.functions.stem import stem_steps
 from resemble.functions.tokens import BREAK_CHARS, NBSP, WS_CLASS, regex_steps
+from resemble.plans.stem_rules import stem_steps
 
 
 def lit(s: str) -> str:
@@ -81,7 +81,7 @@ def fingerprint_sql(tokens: str) -> str:
 
 
 def stem_sql(t: str) -> str:
-    """Twin of ``stem.stem_tokens`` over a DuckDB list."""
+    """Stems of a DuckDB list, by the rules as regular expressions."""
     s = f"array_to_string({t}, chr(10))"
     for pattern, new in stem_steps():
         s = f"regexp_replace({s}, {lit('(?m)' + pattern)}, {lit(new.replace('$1', chr(92) + '1'))}, 'g')"

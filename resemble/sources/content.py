@@ -45,16 +45,26 @@ def content_table(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def read_content_table(spark: SparkSession, path: str) -> DataFrame:
-    """S1 + S2 + S3: tab-separated, header row, UTF-8, all strings."""
+    """S1 + S2 + S3: tab-separated, header row, UTF-8, all strings.
+
+    A field in quotes may hold tabs, line feeds and quotes, which are doubled.
+    So a record may span lines and a file is read by one task; a table of many
+    part files is read in parallel.
+    """
     check_file_type(path)
-    df = (spark.read.option("sep", "\t").option("header", True).option("inferSchema", False)
-          .option("encoding", "UTF-8").option("multiLine", False).csv(path))
-    return content_table(df)
+    return content_table(_tsv(spark.read, multiLine=True, inferSchema=False).csv(path))
+
+
+def _tsv(io, **more):
+    """Reader or writer of the dialect: tabs, quotes doubled, spaces kept, a header."""
+    same = dict(sep="\t", header=True, encoding="UTF-8", quote='"', escape='"', lineSep="\n", nullValue="", emptyValue="",
+                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return io.options(**same, **more)
 
 
 def write_result_table(df: DataFrame, out_dir: str) -> None:
-    """Tab-separated with a header, UTF-8, one folder of part files."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("encoding", "UTF-8").csv(out_dir)
+    """Tab-separated with a header, UTF-8, one folder of part files; fields are quoted, quotes in them doubled."""
+    _tsv(df.write.mode("overwrite"), quoteAll=True).csv(out_dir)
 
 
 def result_name(upload_name: str, job_id: str) -> str:
