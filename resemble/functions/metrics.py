@@ -175,7 +175,8 @@ class Metric:
 
 
 def prepare_set(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:
-    return df.withColumn(prefix + "set", F.array_distinct(F.col(tokens)))
+    """The distinct tokens as 64-bit hashes: they move, sort and intersect as longs."""
+    return df.withColumn(prefix + "set", F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
 
 
 def _prepare_fuzzy(df: DataFrame, keys: list[str], tokens: str, prefix: str) -> DataFrame:

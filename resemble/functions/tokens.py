@@ -91,7 +91,10 @@ def clean_text(text: Column) -> Column:
 def normalized_text(text: Column) -> Column:
     """Steps 1-8 up to, not including, the split: one string, lower-cased."""
     s = F.translate(clean_text(text), NBSP + BREAK_CHARS, " " * (1 + len(BREAK_CHARS)))
-    for pattern, repl in regex_steps():
+    marks, *steps = regex_steps()
+    # Java tests the range first, so that an ASCII character isn't held against each mark
+    s = F.regexp_replace(s, f"([\\u0080-\\uffff&&[{MARKS}]])", marks[1])
+    for pattern, repl in steps:
         s = F.regexp_replace(s, pattern, repl)
     return F.lower(s)
 
