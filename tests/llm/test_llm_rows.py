@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from resemble.llm import langid, linededup, mixing, sketch
+from resemble.llm import langid, mixing, sketch
 from resemble.llm.chat import rotate
 from resemble.llm.linededup import dedup_lines
 from resemble.llm.urlfilter import Cascade, judge_urls
@@ -102,11 +102,6 @@ def line_norm(line):
     return re.sub("[\x00-\x60\x7b-\x7f]+", " ", line.lower()).strip()
 
 
-def line_simhash(norm):
-    hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in norm.split(" ") if len(w) >= 5]
-    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -117,18 +112,13 @@ def distance(a, b):
 
 
 def brute_lines(docs):
+    """All pairs of different normal forms by the edit rule, connected groups, the first line of each stays."""
     norms = {}
     for i, t in docs:
         for p, line in enumerate((t or "").split("\n")):
-            n = re.sub(r" +", " ", line_norm(line)).strip()
+            n = line_norm(line)
             if n:
                 norms.setdefault(n, []).append((i, p))
-    keys = {}
-    for n in norms:
-        s = line_simhash(n)
-        b = [s >> 16 * k & 0xFFFF for k in range(4)]
-        long_words = sum(len(w) >= 5 for w in n.split(" "))
-        keys[n] = {(i, j, b[i], b[j]) for i in range(4) for j in range(i)} if long_words >= 4 else set()
     root = {n: n for n in norms}
 
     def find(x):
@@ -139,10 +129,9 @@ def brute_lines(docs):
     names = list(norms)
     for x in range(len(names)):
         for y in range(x):
-            a, b = ([chr(33 + signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) % 94) for w in n.split(" ")] for n in (names[x], names[y]))
-            if keys[names[x]] & keys[names[y]] and distance(a, b) <= max(len(a), len(b)) * 20 // 100:
-                a, b = names[x], names[y]
-                root[find(a)] = find(b)
+            a, b = names[x].split(" "), names[y].split(" ")
+            if 0 < distance(a, b) <= max(len(a), len(b)) * 20 // 100:
+                root[find(names[x])] = find(names[y])
     groups = {}
     for n, places in norms.items():
         groups.setdefault(find(n), []).extend(places)
@@ -160,11 +149,10 @@ def line_docs():
             (4, None), (5, ""), (6, "third\nthird\nTHIRD."), (7, "-- 12!!\n-- 12!!"), (8, long[0] + "\n" + long[1]), (9, "a b c d\nd c b a\na b c d e"), (11, "alpha bravo delta gamma\nalpha bravo of delta gamma\nthe alpha bravo delta gamma of\nsigma bravo delta gamma")]
 
 
-def test_line_dedup_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "LONG_LINE", 1_000)  # the longest lines take the other way of counting
+def test_line_dedup_matches_brute_force(spark):
     docs = line_docs()
     df = spark.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id long, text string, norm string, n_lines int")
-    out = dedup_lines(df)
+    out = dedup_lines(df, exact=True)
     assert out.columns == ["doc_id", "text", "norm", "n_lines", "n_removed"]
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"] or "") for r in out.collect()}
     assert got == brute_lines(docs)
@@ -287,7 +275,8 @@ def brute_sketch(text):
             s.append(x)
     else:
         s = [xxhash.xxh64(" ".join(w).encode(), seed=42).intdigest()] if w else []
-    kept = {x for x in s if x >> 61 == 0} or {x for x in s if x & ((1 << 63) - 1) == min(y & ((1 << 63) - 1) for y in s)}
+    # with none below the threshold the least one stays, by its upper 63 bits
+    kept = {x for x in s if x >> 61 == 0} or {x for x in s if x >> 1 == min(y >> 1 for y in s)}
     return kept
 
 
