@@ -18,7 +18,7 @@ from resemble.session import checkpoint_dir
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once, written as a table to the shared checkpoint folder and read back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
