@@ -2,8 +2,8 @@
 
 One pass per page emits four kinds of rows in document order:
 
-``e`` element   tag, attributes, ancestors, ``end`` (last descendant's pos)
-                and ``text``: the text before its first child (lxml ``.text``)
+``e`` element   tag, attributes, ``end`` (last descendant's pos), ``parent``
+                (pos of its parent) and ``text``: the text before its first child
 ``t`` text      a text run; ``tag`` is the parent's tag (``[document]`` at top)
 ``c`` comment
 ``b`` block     a run of visible text between two block-level tag boundaries,
@@ -11,8 +11,12 @@ One pass per page emits four kinds of rows in document order:
                 features of Kohlschütter et al. 2010); ``parent`` is its
                 innermost block-level container
 
-Everything after this pass (meta, visible text, selectors, main content) is
-native Spark over these rows.  Parsing uses the standard library's
+``pos`` and ``end`` are interval labels: the descendants of an element are the
+nodes from ``pos`` + 1 to ``end``, so no node carries its ancestors and a page's
+nodes grow with its length, however deep it nests.
+
+``page_parts`` folds one page's nodes into one row: title, meta, visible texts
+and blocks; what the recipes make of them is native Spark.  Parsing uses the standard library's
 ``html.parser``: script/style are raw text, entities are decoded (also cut
 short ones), ``p``/``li``/``dt``/``dd``/``tr``/``td``/``th``/``option`` close
 implicitly, void tags never hold children.
@@ -24,6 +28,7 @@ yielding the node rows of a few pages at a time.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -45,13 +50,18 @@ SIBLING_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
                  "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE_TAGS = frozenset("ul ol table dl select html body".split())
 INVISIBLE_PARENTS = frozenset(["style", "script", "[document]", "head", "title"])
+HIDDEN_TAGS = frozenset(["style", "script", "head", "title"])
 # ---------------------------------------------------------------------------
 
 NODE_SCHEMA = (
-    "page_id long, kind string, pos int, end int, tag string, depth int, path array<int>, "
-    "anc_tags array<string>, anc_ids array<string>, anc_classes array<string>, "
+    "page_id long, kind string, pos int, end int, tag string, depth int, "
     "attrs map<string,string>, text string, n_words int, n_link_words int, parent int, nth int"
 )
+PARTS_SCHEMA = (
+    "page_id long, url string, html string, title string, description string, keywords string, property_description string, "
+    "property_keywords string, texts array<string>, "
+    "blocks array<struct<pos:int,parent:int,text:string,n_words:int,n_link_words:int>>, container int"
+)
 
 
 class _NodeParser(HTMLParser):
@@ -66,27 +76,24 @@ class _NodeParser(HTMLParser):
         self.block_text: list[str] = []
         self.block_links = 0
         self.root_counts: dict[str, int] = {}
+        self.open: dict[str, int] = {}   # how many elements of a tag are open
+        self.hidden = 0                  # open elements whose text is never visible
 
     # --- helpers --------------------------------------------------------------
     def _next(self) -> int:
         self.pos += 1
         return self.pos
 
-    def _ancestry(self):
-        return ([e["pos"] for e in self.stack], [e["tag"] for e in self.stack],
-                [e["attrs"].get("id", "") for e in self.stack], [e["attrs"].get("class", "") for e in self.stack])
+    def _parent(self) -> int:
+        return self.stack[-1]["pos"] if self.stack else 0
 
     def _block_parent(self) -> int:
-        for e in reversed(self.stack):
-            if e["tag"] in BLOCK_TAGS:
-                return e["pos"]
-        return 0
+        return self.stack[-1]["_block"] if self.stack else 0
 
     def _flush_block(self) -> None:
         if self.block_words:
             pos = self._next()
-            self.rows.append(dict(page_id=self.page_id, kind="b", pos=pos, end=pos, tag=None, depth=len(self.stack),
-                                  path=None, anc_tags=None, anc_ids=None, anc_classes=None, attrs=None,
+            self.rows.append(dict(page_id=self.page_id, kind="b", pos=pos, end=pos, tag=None, depth=len(self.stack), attrs=None,
                                   text=" ".join(" ".join(self.block_text).split()), n_words=len(self.block_words),
                                   n_link_words=self.block_links, parent=self._block_parent()))
         self.block_words, self.block_text, self.block_links = [], [], 0
@@ -95,10 +102,14 @@ class _NodeParser(HTMLParser):
         while len(self.stack) > index:
             e = self.stack.pop()
             e["end"] = self.pos
+            self.open[e["tag"]] -= 1
+            self.hidden -= e["tag"] in HIDDEN_TAGS
             if e["tag"] == "a":
                 self.in_a = max(0, self.in_a - 1)
 
     def _find_open(self, tags, stop=SCOPE_TAGS) -> int:
+        if not any(self.open.get(t) for t in tags):
+            return -1
         for i in range(len(self.stack) - 1, -1, -1):
             t = self.stack[i]["tag"]
             if t in tags:
@@ -124,16 +135,17 @@ class _NodeParser(HTMLParser):
             self.stack[-1]["_child"] = True
             counts = self.stack[-1].setdefault("_counts", {})
         counts[tag] = counts.get(tag, 0) + 1
-        path, tags, ids, classes = self._ancestry()
         amap = {k: (v if v is not None else "") for k, v in attrs}
         row = dict(page_id=self.page_id, kind="e", pos=self._next(), end=0, tag=tag, depth=len(self.stack),
-                   path=path, anc_tags=tags, anc_ids=ids, anc_classes=classes, attrs=amap, text="",
-                   n_words=0, n_link_words=0, parent=path[-1] if path else 0, nth=counts[tag])
+                   attrs=amap, text="", n_words=0, n_link_words=0, parent=self._parent(), nth=counts[tag])
         self.rows.append(row)
         if tag in VOID_TAGS:
             row["end"] = row["pos"]
             return
+        row["_block"] = row["pos"] if tag in BLOCK_TAGS else self._block_parent()
         self.stack.append(row)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.hidden += tag in HIDDEN_TAGS
         if tag == "a":
             self.in_a += 1
 
@@ -145,6 +157,8 @@ class _NodeParser(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self._flush_block()
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i]["tag"] == tag:
                 self._pop_to(i)
@@ -153,13 +167,11 @@ class _NodeParser(HTMLParser):
     def handle_data(self, data):
         parent = self.stack[-1] if self.stack else None
         ptag = parent["tag"] if parent else "[document]"
-        path, tags, ids, classes = self._ancestry()
-        self.rows.append(dict(page_id=self.page_id, kind="t", pos=self._next(), end=self.pos, tag=ptag,
-                              depth=len(self.stack), path=path, anc_tags=tags, anc_ids=ids, anc_classes=classes,
-                              attrs=None, text=data, n_words=0, n_link_words=0, parent=path[-1] if path else 0))
+        self.rows.append(dict(page_id=self.page_id, kind="t", pos=self._next(), end=self.pos, tag=ptag, depth=len(self.stack),
+                              attrs=None, text=data, n_words=0, n_link_words=0, parent=self._parent()))
         if parent is not None and not parent.get("_child"):
             parent["text"] += data
-        if ptag not in INVISIBLE_PARENTS and not any(t in ("script", "style", "head", "title") for t in tags):
+        if parent is not None and not self.hidden:
             w = data.split()
             if w:
                 self.block_words.extend(w)
@@ -178,11 +190,9 @@ class _NodeParser(HTMLParser):
     def handle_comment(self, data):
         if self.stack:
             self.stack[-1]["_child"] = True
-        path, tags, ids, classes = self._ancestry()
         self.rows.append(dict(page_id=self.page_id, kind="c", pos=self._next(), end=self.pos,
-                              tag=self.stack[-1]["tag"] if self.stack else "[document]", depth=len(self.stack),
-                              path=path, anc_tags=tags, anc_ids=ids, anc_classes=classes, attrs=None, text=data,
-                              n_words=0, n_link_words=0, parent=path[-1] if path else 0))
+                              tag=self.stack[-1]["tag"] if self.stack else "[document]", depth=len(self.stack), attrs=None, text=data,
+                              n_words=0, n_link_words=0, parent=self._parent()))
 
     def finish(self) -> list[dict]:
         self.close()
@@ -191,6 +201,7 @@ class _NodeParser(HTMLParser):
         for r in self.rows:
             r.pop("_child", None)
             r.pop("_counts", None)
+            r.pop("_block", None)
             r.setdefault("nth", 0)
         return self.rows
 
@@ -218,3 +229,51 @@ def nodes_of_batches(batches: Iterator[pd.DataFrame], pages_per_chunk: int = 64)
                 rows = []
         if rows:
             yield pd.DataFrame(rows, columns=COLUMNS)
+
+
+_SPACE_ENDS = re.compile(r"^\s+|\s+$")
+_COMMENT_TEXT = re.compile(r"<!--[^\n]*-->")
+
+
+def page_parts(page_id: int, url: str | None, html: str) -> dict:
+    """One page as one row: title, meta contents, visible texts in order (stripped, not blank), text blocks."""
+    nodes = parse_page(page_id, html)
+    out = dict(page_id=page_id, url=url, html=html, title=None, description=None, keywords=None, property_description=None, property_keywords=None)
+    title = next((n for n in nodes if n["kind"] == "e" and n["tag"] == "title"), None)
+    if title is not None:
+        out["title"] = next((n["text"] for n in nodes if n["kind"] == "t" and n["parent"] == title["pos"]), None)
+    for n in nodes:
+        if n["kind"] == "e" and n["tag"] == "meta":
+            for source, prefix in (("name", ""), ("property", "property_")):
+                # a property counts only where there is no name
+                name = (n["attrs"].get("name", n["attrs"].get("property", "")) if prefix else n["attrs"].get("name", "")).lower()
+                for word in ("description", "keywords"):
+                    if word in name and out[prefix + word] is None:
+                        out[prefix + word] = n["attrs"].get("content", "")
+    texts = (_SPACE_ENDS.sub("", n["text"]) for n in nodes
+             if n["kind"] == "t" and n["tag"] not in INVISIBLE_PARENTS and not _COMMENT_TEXT.match(n["text"]))
+    out["texts"] = [t for t in texts if t]
+    blocks = [n for n in nodes if n["kind"] == "b"]
+    score: dict[int, int] = {}
+    for b in blocks:
+        score[b["parent"]] = score.get(b["parent"], 0) + b["n_words"] - b["n_link_words"]
+    out["blocks"] = [{k: b[k] for k in ("pos", "parent", "text", "n_words", "n_link_words")} for b in blocks]
+    # the container with the most words outside links, the first of equal ones
+    out["container"] = min(score, key=lambda p: (-score[p], p), default=0)
+    return out
+
+
+PART_COLUMNS = ["page_id", "url", "html", "title", "description", "keywords", "property_description", "property_keywords", "texts", "blocks", "container"]
+
+
+def parts_of_batches(batches: Iterator[pd.DataFrame], pages_per_chunk: int = 256) -> Iterator[pd.DataFrame]:
+    """``mapInPandas`` body: (page_id, url, html) batches → one row a page, some pages at a time."""
+    for pdf in batches:
+        rows: list[dict] = []
+        for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+            rows.append(page_parts(page_id, url, html))
+            if len(rows) == pages_per_chunk:
+                yield pd.DataFrame(rows, columns=PART_COLUMNS)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=PART_COLUMNS)

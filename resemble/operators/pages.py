@@ -1,34 +1,34 @@
 """HTML → text extractors over a ``pages(page_id, url, html)`` table.
 
-``page_nodes`` runs the one Python pass (``functions/html_nodes.py``) inside
-``mapInPandas``; only ``page_id`` and ``html`` cross into Python, and filters
-on pages are applied before it (Catalyst cannot push through the Python
-stage).  Everything else is native: meta (E2), URL words (E3), visible text
-(E4, F7), CSS/XPath selections compiled to SQL predicates over the ancestor
-arrays (E5), block classification with ``lag``/``lead`` (E6), the top
-container (E7, E8), the combination (E9) and the dispatcher (E10).
-
-Per-page groupings (``collect_list`` of one page's texts) are bounded by the
-size of one fetched page.
+A page is parsed once, on the executor that reads it, and stays one row
+(``page_parts``): title, meta contents, visible texts and text blocks, in order.
+Every recipe is then a row-local native expression over these arrays: meta (E2),
+URL words (E3), visible text (E4, F7), block classification by a block's
+neighbours in the array (E6), the top container (E7, E8), the combination (E9)
+and the dispatcher (E10).  Selections (E5) are matched on the parsed nodes in the
+same kind of pass (``functions/selectors.py``).  So no recipe has a window, a join
+or a shuffle.
+
+``page_nodes`` gives the nodes as rows with interval labels, for user extractors.
 """
 
 from __future__ import annotations
 
-import re
+from typing import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resemble.functions.html_nodes import NODE_SCHEMA, nodes_of_batches
+from resemble.functions.html_nodes import NODE_SCHEMA, PARTS_SCHEMA, nodes_of_batches, parse_page, parts_of_batches
+from resemble.functions.selectors import SELECTOR_TYPES, compile_selector
 from resemble.functions.urltext import join_parts, url_text
-from resemble.session import materialize
 
 # ---------------------------------------------------------------------------
 # Extractor names (the first is the default), selector types,
 # and the block rule thresholds of Kohlschütter, Fankhauser, Nejdl (2010).
 # ---------------------------------------------------------------------------
 EXTRACTORS = ("dragnet", "goose", "goose_dragnet", "readability", "selective", "all_text")
-SELECTOR_TYPES = ("css", "xpath")
 MAX_LINK_DENSITY = 1 / 3
 PREV_LINK_DENSITY = 5 / 9
 # ---------------------------------------------------------------------------
@@ -40,14 +40,27 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         .mapInPandas(nodes_of_batches, NODE_SCHEMA)
 
 
-def _ordered_join(values: Column, order: Column, sep: str) -> Column:
-    """Aggregate: join ``values`` of a group in ``order`` (one page's rows)."""
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v"))))
-    return F.array_join(F.transform(pairs, lambda x: x["v"]), sep)
+def page_parts(pages: DataFrame) -> DataFrame:
+    """One row a page: ``(page_id, url, html, title, description, keywords, ..., texts, blocks)`` (see ``PARTS_SCHEMA``)."""
+    whole = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return whole.mapInPandas(parts_of_batches, PARTS_SCHEMA)
+
+
+def _meta(meta_property: bool = False) -> dict[str, Column]:
+    """E2 + E3 over ``page_parts``: title, description, keywords and URL words, never null.
+
+    Title: the first text inside the first ``<title>``; description/keywords:
+    the ``content`` of the first ``<meta>`` whose ``name`` contains the word,
+    any case.  ``property`` is consulted only with ``meta_property=True`` and
+    only where ``name`` is missing (by default never, as in the reference, Q1).
+    """
+    prefix = "property_" if meta_property else ""
+    return {"title": F.coalesce("title", F.lit("")), "description": F.coalesce(prefix + "description", F.lit("")),
+            "keywords": F.coalesce(prefix + "keywords", F.lit("")), "url_text": url_text(F.col("url"))}
 
 
 def page_meta(nodes: DataFrame, meta_property: bool = False) -> DataFrame:
-    """``(page_id, title, description, keywords)``.
+    """E2 over node rows, for user extractors: ``(page_id, title, description, keywords)``.
 
     Title: the first text inside the first ``<title>``; description/keywords:
     the ``content`` of the first ``<meta>`` whose ``name`` contains the word,
@@ -71,246 +84,92 @@ def page_meta(nodes: DataFrame, meta_property: bool = False) -> DataFrame:
     return title.join(meta, "page_id", "full")
 
 
-def meta_parts(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """E2 + E3: ``(page_id, url, title, description, keywords, url_text)`` for every page."""
-    return pages.select("page_id", "url").join(page_meta(nodes), "page_id", "left").select(
-        "page_id", "url",
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "description", "keywords")],
-        url_text(F.col("url")).alias("url_text"))
+def meta_parts(pages: DataFrame, nodes: DataFrame | None = None, meta_property: bool = False) -> DataFrame:
+    """E2 + E3: ``(page_id, url, title, description, keywords, url_text)`` for every page; ``nodes`` is not needed."""
+    return page_parts(pages).select("page_id", "url", *[c.alias(n) for n, c in _meta(meta_property).items()])
 
 
-def _meta_join(stripped: bool) -> Column:
-    parts = [F.col("title"), F.col("description"), F.col("keywords"), F.col("url_text")]
-    if stripped:
-        parts = [F.trim(p) for p in parts]
-    return join_parts(*parts)
+def _all_text() -> Column:
+    """Meta parts, then every visible text (F7), each stripped, blanks dropped, joined ``', '``."""
+    return join_parts(*[F.trim(c) for c in _meta().values()], F.when(F.size("texts") > 0, F.array_join("texts", ", ")))
 
 
-def visible_texts(nodes: DataFrame) -> DataFrame:
-    """text nodes whose parent is not style/script/head/title/document, and no comments."""
-    return nodes.where((F.col("kind") == "t")
-                       & ~F.col("tag").isin("style", "script", "[document]", "head", "title")
-                       & ~F.col("text").rlike("^<!--.*-->"))
+# --- E5 selectors -------------------------------------------------------------
 
+def selector_predicate(selector: str, selector_type: str = "css"):
+    """The selector as a function of one page's nodes; ``ValueError`` if it is blank, unknown or unsupported."""
+    return compile_selector(selector, selector_type)
 
-def all_text(pages: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Meta parts, then every visible text, each stripped, blanks dropped, joined ``', '``."""
-    nodes = page_nodes(pages) if nodes is None else nodes
-    vis = visible_texts(nodes).select("page_id", "pos", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("t")) \
-        .where(F.col("t") != "")
-    body = vis.groupBy("page_id").agg(_ordered_join(F.col("t"), F.col("pos"), ", ").alias("body"))
-    meta = meta_parts(pages, nodes)
-    return meta.join(body, "page_id", "left").select(
-        "page_id", "url",
-        join_parts(*[F.trim(F.col(c)) for c in ("title", "description", "keywords", "url_text")], F.col("body"))
-        .alias("content"))
 
+def selective(pages: DataFrame, selector: str, selector_type: str = "css", nodes: DataFrame | None = None) -> DataFrame:
+    """E5: for each match in document order, the ``.text`` of every element in its
+    subtree joined by a space, plus one space after each match.
 
-# --- E5 selectors -------------------------------------------------------------
+    Pages are parsed and matched in one pass; ``nodes`` is not needed.
+    """
+    content = compile_selector(selector, selector_type)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [content(parse_page(0, html)) for html in pdf["html"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "content": found})
+
+    whole = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return whole.mapInPandas(run, "page_id long, url string, content string")
 
-_CSS_COMPOUND = re.compile(r"^(?P<tag>[A-Za-z][A-Za-z0-9-]*|\*)?(?P<rest>(?:[.#][A-Za-z0-9_-]+|\[[^\]]+\])*)$")
-_CSS_PART = re.compile(r"([.#])([A-Za-z0-9_-]+)|\[\s*([A-Za-z_:][A-Za-z0-9_:.-]*)\s*(?:=\s*['\"]?([^'\"\]]*)['\"]?)?\s*\]")
-_XPATH_STEP = re.compile(r"^(?P<tag>[A-Za-z][A-Za-z0-9-]*|\*)(?P<preds>(?:\[[^\]]+\])*)$")
-_XPATH_PRED = re.compile(r"\[\s*(?:@([A-Za-z_:][A-Za-z0-9_:.-]*)\s*=\s*['\"]([^'\"]*)['\"]|(\d+))\s*\]")
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _parse_css(selector: str) -> tuple[list[dict], list[str]]:
-    tokens = re.findall(r"[^\s>]+|>", selector.strip())
-    parts, combs, pending = [], [], " "
-    for t in tokens:
-        if t == ">":
-            pending = ">"
-            continue
-        m = _CSS_COMPOUND.match(t)
-        if not m:
-            raise ValueError("unsupported CSS selector: %r" % selector)
-        c = {"tag": (m.group("tag") or "*").lower(), "ids": [], "classes": [], "attrs": [], "nth": None}
-        if "".join(x.group(0) for x in _CSS_PART.finditer(m.group("rest"))) != m.group("rest"):
-            raise ValueError("unsupported CSS selector: %r" % selector)
-        for dot, name, attr, val in _CSS_PART.findall(m.group("rest")):
-            if dot == "#":
-                c["ids"].append(name)
-            elif dot == ".":
-                c["classes"].append(name)
-            else:
-                c["attrs"].append((attr.lower(), val if val != "" or "=" in t else None))
-        if parts:
-            combs.append(pending)
-        parts.append(c)
-        pending = " "
-    if not parts:
-        raise ValueError("empty selector")
-    return parts, combs
-
-
-def _parse_xpath(selector: str) -> tuple[list[dict], list[str], bool]:
-    s = selector.strip()
-    steps = re.findall(r"(//|/)([^/]+)", s)
-    if not steps or "".join(a + b for a, b in steps) != s:
-        raise ValueError("unsupported XPath: %r" % selector)
-    parts, combs = [], []
-    for i, (axis, step) in enumerate(steps):
-        m = _XPATH_STEP.match(step.strip())
-        if not m:
-            raise ValueError("unsupported XPath step: %r" % step)
-        c = {"tag": m.group("tag").lower(), "ids": [], "classes": [], "attrs": [], "nth": None, "exact": True}
-        if "".join(x.group(0) for x in _XPATH_PRED.finditer(m.group("preds"))) != m.group("preds"):
-            raise ValueError("unsupported XPath predicate in %r" % step)
-        for attr, val, n in _XPATH_PRED.findall(m.group("preds")):
-            if n:
-                c["nth"] = int(n)
-            else:
-                c["attrs"].append((attr.lower(), val))
-        if i > 0:
-            combs.append(">" if axis == "/" else " ")
-        parts.append(c)
-    absolute = steps[0][0] == "/"
-    return parts, combs, absolute
-
-
-def _self_match(c: dict) -> str:
-    conds = []
-    if c["tag"] != "*":
-        conds.append(f"tag = {_sql_str(c['tag'])}")
-    for i in c["ids"]:
-        conds.append(f"attrs['id'] = {_sql_str(i)}")
-    for k in c["classes"]:
-        conds.append(f"array_contains(split(coalesce(attrs['class'], ''), '\\\\s+'), {_sql_str(k)})")
-    for a, v in c["attrs"]:
-        conds.append(f"map_contains_key(attrs, {_sql_str(a)})" if v is None else f"attrs[{_sql_str(a)}] = {_sql_str(v)}")
-    if c["nth"] is not None:
-        conds.append(f"nth = {c['nth']}")
-    return " AND ".join(conds) or "true"
-
-
-def _anc_match(c: dict, j: str) -> str:
-    conds = []
-    if c["tag"] != "*":
-        conds.append(f"anc_tags[{j}] = {_sql_str(c['tag'])}")
-    for i in c["ids"]:
-        conds.append(f"anc_ids[{j}] = {_sql_str(i)}")
-    for k in c["classes"]:
-        conds.append(f"array_contains(split(anc_classes[{j}], '\\\\s+'), {_sql_str(k)})")
-    for a, v in c["attrs"]:
-        if a == "class" and v is not None:
-            conds.append(f"anc_classes[{j}] = {_sql_str(v)}" if c.get("exact") else
-                         f"array_contains(split(anc_classes[{j}], '\\\\s+'), {_sql_str(v)})")
-        elif a == "id" and v is not None:
-            conds.append(f"anc_ids[{j}] = {_sql_str(v)}")
-        else:
-            raise ValueError("attribute tests on ancestors support only id and class")
-    if c["nth"] is not None:
-        raise ValueError("position tests are supported on the last step only")
-    return " AND ".join(conds) or "true"
 
+# --- E6-E9 main content -------------------------------------------------------
+
+def _link_density(block: Column) -> Column:
+    return block["n_link_words"] / block["n_words"]
+
+
+def _texts(blocks: Column, sep: str) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: b["text"]), sep)
 
-def selector_predicate(selector: str, selector_type: str = "css") -> str:
-    """Compile a selector to a SQL predicate over node rows (``kind = 'e'``).
 
-    Supported: type, ``*``, ``.class``, ``#id``, ``[a]``, ``[a=v]``, descendant
-    and ``>`` (CSS); ``//``, ``/``, ``[@a='v']``, ``[n]`` (XPath; ``[n]`` on the
-    last step).  Matching an ancestor chain is a nested ``exists`` over the
-    ancestor arrays: no join.
+def density_content() -> Column:
+    """E6 body: blocks kept by the shallow-feature rule, in order, joined by a space.
+
+    A block's neighbours are the array's; the first and the last block have an empty one beside them.
     """
-    if selector_type not in SELECTOR_TYPES:
-        raise ValueError("selector_type must be css or xpath")
-    if not selector or not selector.strip():
-        raise ValueError("selector must not be blank")
-    if selector_type == "css":
-        parts, combs = _parse_css(selector)
-        absolute = False
-    else:
-        parts, combs, absolute = _parse_xpath(selector)
-    counter = [0]
-
-    def chain(k: int, upper: str) -> str:
-        # parts[0..k] must be matched by ancestors with index < upper
-        if k < 0:
-            return "true"
-        comb = combs[k]
-        if comb == ">":
-            j = f"({upper} - 1)"
-            first = f" AND {j} = 0" if (k == 0 and absolute) else ""
-            return f"({upper} > 0 AND {_anc_match(parts[k], j)}{first} AND {chain(k - 1, j)})"
-        counter[0] += 1
-        v = f"j{counter[0]}"
-        first = f" AND {v} = 0" if (k == 0 and absolute) else ""
-        return (f"({upper} > 0 AND exists(sequence(0, {upper} - 1), {v} -> "
-                f"{_anc_match(parts[k], v)}{first} AND {chain(k - 1, v)}))")
-
-    last = len(parts) - 1
-    cond = f"({_self_match(parts[last])})"
-    if last == 0 and absolute:
-        cond += " AND depth = 0"
-    if last > 0:
-        cond += " AND " + chain(last - 1, "size(path)")
-    return cond
-
-
-def selective(pages: DataFrame, selector: str, selector_type: str = "css",
-              nodes: DataFrame | None = None) -> DataFrame:
-    """E5: for each match in document order, the ``.text`` of every element in its
-    subtree joined by a space, plus one space after each match."""
-    pred = selector_predicate(selector, selector_type)
-    nodes = page_nodes(pages) if nodes is None else nodes
-    matched = nodes.where((F.col("kind") == "e") & F.expr(pred)).select("page_id", F.col("pos").alias("mpos"))
-    members = nodes.where(F.col("kind").isin("e", "c") & (F.col("text") != "")).select(
-        "page_id", "pos", "text", F.explode(F.concat(F.coalesce("path", F.array().cast("array<int>")),
-                                                      F.array("pos"))).alias("mpos"))
-    per_match = members.join(matched, ["page_id", "mpos"]).groupBy("page_id", "mpos") \
-        .agg(_ordered_join(F.col("text"), F.col("pos"), " ").alias("t"))
-    per_page = per_match.groupBy("page_id").agg(
-        _ordered_join(F.concat(F.col("t"), F.lit(" ")), F.col("mpos"), "").alias("content"))
-    return pages.select("page_id", "url").join(per_page, "page_id", "left") \
-        .select("page_id", "url", F.coalesce("content", F.lit("")).alias("content"))
+    blocks = F.col("blocks")
 
+    def keep(b: Column, i: Column) -> Column:
+        before, after = F.get(blocks, i - 1), F.get(blocks, i + 1)
+        pw, pld = F.coalesce(before["n_words"], F.lit(0)), F.coalesce(_link_density(before), F.lit(0.0))
+        nw, words = F.coalesce(after["n_words"], F.lit(0)), b["n_words"]
+        return (_link_density(b) <= MAX_LINK_DENSITY) & F.when(
+            pld <= PREV_LINK_DENSITY, (words > 16) | (nw > 15) | (pw > 4)).otherwise((words > 40) | (nw > 17))
+
+    return _texts(F.filter(blocks, keep), " ")
 
-# --- E6-E9 main content -------------------------------------------------------
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("kind") == "b").select(
-        "page_id", "pos", "parent", "text", "n_words", "n_link_words",
-        (F.col("n_link_words") / F.col("n_words")).alias("ld"))
-
-
-def density_content(nodes: DataFrame) -> DataFrame:
-    """E6 body: blocks kept by the shallow-feature rule, in order, joined by a space."""
-    w = Window.partitionBy("page_id").orderBy("pos")
-    b = _blocks(nodes).select(
-        "*",
-        F.coalesce(F.lag("n_words").over(w), F.lit(0)).alias("pw"),
-        F.coalesce(F.lag("ld").over(w), F.lit(0.0)).alias("pld"),
-        F.coalesce(F.lead("n_words").over(w), F.lit(0)).alias("nw"))
-    keep = (F.col("ld") <= MAX_LINK_DENSITY) & F.when(
-        F.col("pld") <= PREV_LINK_DENSITY,
-        (F.col("n_words") > 16) | (F.col("nw") > 15) | (F.col("pw") > 4),
-    ).otherwise((F.col("n_words") > 40) | (F.col("nw") > 17))
-    return b.where(keep).groupBy("page_id").agg(_ordered_join(F.col("text"), F.col("pos"), " ").alias("main"))
-
-
-def container_content(nodes: DataFrame, sep: str = " ", drop_link_blocks: bool = False) -> DataFrame:
-    """E7/E8 body: the block container with the most non-link words; its blocks in order."""
-    b = _blocks(nodes)
-    score = b.groupBy("page_id", "parent").agg(F.sum(F.col("n_words") - F.col("n_link_words")).alias("score"))
-    top = score.groupBy("page_id").agg(F.max_by("parent", F.struct("score", -F.col("parent"))).alias("parent"))
-    chosen = b.join(top, ["page_id", "parent"])
+def container_content(sep: str = " ", drop_link_blocks: bool = False) -> Column:
+    """E7/E8 body: the block container with the most non-link words, the first of equal ones; its blocks in order."""
+    chosen = F.filter("blocks", lambda b: b["parent"] == F.col("container"))
     if drop_link_blocks:
-        chosen = chosen.where(F.col("ld") <= MAX_LINK_DENSITY)
-    return chosen.groupBy("page_id").agg(_ordered_join(F.col("text"), F.col("pos"), sep).alias("main"))
+        chosen = F.filter(chosen, lambda b: _link_density(b) <= MAX_LINK_DENSITY)
+    return _texts(chosen, sep)
 
 
-def _with_meta(pages: DataFrame, nodes: DataFrame, body: DataFrame, content_first: bool = False) -> DataFrame:
-    meta = meta_parts(pages, nodes).join(body, "page_id", "left")
-    main = F.coalesce(F.col("main"), F.lit(""))
-    if content_first:
-        content = join_parts(main, _meta_join(False))
-    else:
-        content = join_parts(F.col("title"), F.col("description"), F.col("keywords"), F.col("url_text"), main)
-    return meta.select("page_id", "url", content.alias("content"))
+def _with_meta(body: Column) -> Column:
+    return join_parts(*_meta().values(), body)
+
+
+def _recipe(method: str) -> Column:
+    """The content of a page by a named recipe, over ``page_parts``."""
+    if method == "all_text":
+        return _all_text()
+    if method == "dragnet":
+        return _with_meta(density_content())
+    if method == "readability":
+        return _with_meta(container_content(" "))
+    if method == "goose":
+        return _with_meta(container_content("\n\n", drop_link_blocks=True))
+    # goose_dragnet: content first (density, else cleaned text), then meta text
+    body = F.coalesce(F.nullif(density_content(), F.lit("")), container_content("\n\n", drop_link_blocks=True))
+    return join_parts(body, join_parts(*_meta().values()))
 
 
 _USER_EXTRACTORS: dict = {}
@@ -333,30 +192,19 @@ def extract(pages: DataFrame, method: str = "dragnet", selector: str | None = No
     if method not in EXTRACTORS and method not in _USER_EXTRACTORS:
         raise ValueError("The extractor name '%s' does not support yet" % method)
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    # every recipe reads the nodes more than once: parse once
-    nodes = materialize(page_nodes(pages.where(F.col("html") != "")))
-    if method in _USER_EXTRACTORS:
-        out = _USER_EXTRACTORS[method](pages, nodes).select("page_id", "url", "content")
-    elif method == "all_text":
-        out = all_text(pages, nodes)
-    elif method == "selective":
-        out = selective(pages, selector or "", selector_type, nodes)
-    elif method == "dragnet":
-        out = _with_meta(pages, nodes, density_content(nodes))
-    elif method == "readability":
-        out = _with_meta(pages, nodes, container_content(nodes, " "))
-    elif method == "goose":
-        out = _with_meta(pages, nodes, container_content(nodes, "\n\n", drop_link_blocks=True))
-    else:  # goose_dragnet: content first (density, else cleaned text), then meta text
-        dens = density_content(nodes).withColumnRenamed("main", "dmain")
-        clean = container_content(nodes, "\n\n", drop_link_blocks=True).withColumnRenamed("main", "cmain")
-        body = dens.join(clean, "page_id", "full").select(
-            "page_id", F.coalesce(F.nullif(F.col("dmain"), F.lit("")), F.col("cmain")).alias("main"))
-        out = _with_meta(pages, nodes, body, content_first=True)
-    if url_fallback:
-        raw = pages.select("page_id", (F.col("html") == "").alias("_blank"))
-        out = out.join(raw, "page_id").select(
-            "page_id", "url", F.when(F.col("_blank"), F.col("url")).otherwise(F.col("content")).alias("content"))
+    blank = F.col("html") == ""
+    if method in _USER_EXTRACTORS or method == "selective":
+        # these give rows of their own; blank pages never reach them, so none is joined back
+        made = pages if not url_fallback else pages.where(~blank)
+        if method == "selective":
+            out = selective(made, selector or "", selector_type)
+        else:
+            out = _USER_EXTRACTORS[method](made, page_nodes(made)).select("page_id", "url", "content")
+        if url_fallback:
+            out = out.unionByName(pages.where(blank).select("page_id", "url", F.col("url").alias("content")))
+    else:
+        content = _recipe(method)
+        out = page_parts(pages).select("page_id", "url", (F.when(blank, F.col("url")).otherwise(content) if url_fallback else content).alias("content"))
     if fallback_after_extract:
         out = out.select("page_id", "url", F.when(F.coalesce(F.col("content"), F.lit("")) == "", F.col("url"))
                          .otherwise(F.col("content")).alias("content"))

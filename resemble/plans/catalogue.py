@@ -242,11 +242,9 @@ def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_titles_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, meta description and keywords of every page."""
-    from resemble.operators.pages import meta_parts, page_nodes
-    from resemble.session import materialize
+    from resemble.operators.pages import meta_parts
 
-    pages = pages_table(spark, sf_dir)
-    return meta_parts(pages, materialize(page_nodes(pages))).select("page_id", "title", "description", "keywords")
+    return meta_parts(pages_table(spark, sf_dir)).select("page_id", "title", "description", "keywords")
 
 
 def _extract_query(method: str, selector: str | None = None, selector_type: str = "css"):

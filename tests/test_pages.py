@@ -101,3 +101,63 @@ def test_text_after_bad_markup_is_kept(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string")
     content = P.extract(pages, "all_text").first().content
     assert [w for w in ("One", "Two", "Three", "Four") if w in content] == ["One", "Two", "Three", "Four"]
+
+
+SIBLINGS = ('<html><body><h1>Top</h1><p id="a" lang="en-US">one</p><p class="x note">two</p><div><p>three</p><p title="a,b">four <i>five</i></p>'
+            '<p>six</p></div><ul><li>a</li><li data-x="file.pdf">b</li><li>c</li><li>d</li></ul><a href="http://q/p.html">link</a><p></p></body></html>')
+
+
+@pytest.fixture(scope="module")
+def sibling_nodes():
+    from resemble.functions.html_nodes import parse_page
+
+    return parse_page(1, SIBLINGS)
+
+
+@pytest.mark.parametrize("selector,want", [
+    ("h1 + p", "one "), ("h1 ~ p", "one two "), ("p + p", "two four  five six "), ("p, h1", "Top one two three four  five six "),
+    ("li:nth-child(2)", "b "), ("li:nth-child(odd)", "a c "), ("li:nth-child(-n+2)", "a b "), ("li:nth-child(2n)", "b d "),
+    ("li:first-child", "a "), ("li:last-child", "d "), ("p:not(.note)", "one three four  five six "), ("li:not([data-x], :first-child)", "c d "),
+    ("p[lang|=en]", "one "), ("a[href^=http]", "link "), ("li[data-x$='.pdf']", "b "), ("a[href*='q/p']", "link "), ("p[class~=note]", "two "),
+    ("p[title='a,b']", "four  five "), ("body > p:nth-of-type(2)", "two "), ("p:empty", ""), ("div p:first-of-type, i", "three five "),
+    ("ul > li + li ~ li", "c d "), ("i:only-child", "five "), ("h1 > p", ""),
+])
+def test_css_forms(sibling_nodes, selector, want):
+    assert P.compile_selector(selector, "css")(sibling_nodes) == want
+
+
+@pytest.mark.parametrize("selector,want", [
+    ("//li[@data-x]", "b "), ("//div[p]/p[2]", "four  five "), ("//p[contains(text(),'o')]", "one two four  five "), ("//p[contains(@title, ',')]", "four  five "),
+    ("//p[not(@class) and not(@id)]", "three four  five six "), ("//p[contains(., 'five')]", "four  five "), ("//p[text()='six']", "six "),
+    ("//li[position()>=3]", "c d "), ("//a[starts-with(@href,'http')]", "link "), ("//p[@id='a' or @class='x note']", "one two "),
+    ("//li[@data-x][1]", "b "), ("//li[2][@data-x]", "b "), ("//li[1][@data-x]", ""), ("/html/body/ul/li[4]", "d "), ("//p[@class!='x']", "two "),
+    ("//li/text()", "a b c d "), ("//div//i", "five "), ("//*[@data-x]", "b "),
+])
+def test_xpath_forms(sibling_nodes, selector, want):
+    assert P.compile_selector(selector, "xpath")(sibling_nodes) == want
+
+
+@pytest.mark.parametrize("bad,kind", [("p:hover", "css"), ("p >", "css"), (", p", "css"), ("p[", "css"), ("p:nth-child(x)", "css"), ("p..a", "css"),
+                                      ("//p[last()]", "xpath"), ("p", "xpath"), ("//p[", "xpath"), ("//a/@href", "xpath"), ("//p[contains(@a)]", "xpath")])
+def test_unsupported_selectors_raise(bad, kind):
+    with pytest.raises(ValueError):
+        P.compile_selector(bad, kind)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    from resemble.functions.html_nodes import parse_page
+
+    html = "<div>" * 4_000 + "x" + "</div>" * 4_000
+    start = time.perf_counter()
+    rows = parse_page(1, "<p>" + html)
+    assert len(rows) == 4_003 and time.perf_counter() - start < 2
+    assert all(len(r) < 16 for r in rows)
+    assert P.compile_selector("div div > div", "css")(rows).count("x") == 3_998
+
+
+def test_recipes_have_no_shuffle_window_or_join(pages):
+    for name in P.EXTRACTORS:
+        plan = P.extract(pages, name, "p" if name == "selective" else None)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Window", "Join")), name
