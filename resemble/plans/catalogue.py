@@ -208,6 +208,15 @@ def fuzzy_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ck.one_vs_many(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "fuzzy")
 
 
+@query
+def fuzzy_shortest_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest document that isn't blank against all documents, token sort ratio on whole texts."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", F.length("text").alias("n"))
+    main = docs.where("n > 0").agg(F.min_by("doc_id", F.struct("n", "doc_id"))).first()[0]
+    checks = docs.select(F.lit(0).alias("check_id"), F.lit(main).cast("long").alias("main_key"), F.col("doc_id").alias("sub_key"))
+    return ck.one_vs_many(checks, documents_corpus(spark, sf_dir), "fuzzy")
+
+
 # --- pages -------------------------------------------------------------------
 
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +268,9 @@ def _extract_query(method: str, selector: str | None = None, selector_type: str
 QUERIES["all_text"] = _extract_query("all_text")
 QUERIES["selective_css"] = _extract_query("selective", "article p", "css")
 QUERIES["selective_xpath"] = _extract_query("selective", "//div[@class='ad']", "xpath")
+QUERIES["selective_sibling"] = _extract_query("selective", "h1 + p", "css")
+QUERIES["selective_nth_child"] = _extract_query("selective", "nav li:nth-child(2) > a, nav li:nth-child(n+4):not(.x) > a", "css")
+QUERIES["selective_xpath_predicates"] = _extract_query("selective", "//nav//li/a[contains(@href, 'e') and not(starts-with(@href, '/t'))]", "xpath")
 QUERIES["main_content_density"] = _extract_query("dragnet")
 QUERIES["main_content_container"] = _extract_query("readability")
 QUERIES["cleaned_content"] = _extract_query("goose")
