@@ -14,8 +14,9 @@ Plan shape of :func:`one_vs_many`
 * Sub side: ``checks ⋈ features`` on the sub key, a shuffle equi-join.
 * Main side: when the distinct (check, main) rows are few (checked with a
   bounded count), the main keys go into an ``IN`` list that reaches the Parquet
-  scan, the main features are built from that small read and broadcast to the sub side, so
-  the hot key "one main, all subs" never moves through a shuffle.  Otherwise
+  scan, the main features are built from that small read and, if their bytes are
+  few, too, broadcast to the sub side, so the hot key "one main, all subs" never
+  moves through a shuffle.  Otherwise
   a shuffle join on ``check_id`` with AQE skew splitting.
 """
 
@@ -37,7 +38,7 @@ from resemble.functions.metrics import (
 )
 from resemble.functions.tokens import clean_text, with_tokens
 from resemble.operators.order import competition_rank, order_score
-from resemble.session import materialize
+from resemble.session import broadcast_within, materialize
 
 # ---------------------------------------------------------------------------
 # The reference's result messages.
@@ -119,8 +120,9 @@ def one_vs_many(checks: DataFrame, corpus: CorpusSource, metric: str | None = "c
     keys = _bounded_mains(checks, max_broadcast_mains)
     if keys is not None:
         main_feats = document_features(_corpus(main_source, keys), [m], "m_", **tok)
-        main_side = F.broadcast(mains).join(main_feats, mains.main_key == main_feats.m_key, "left")
-        pairs = subs.join(F.broadcast(main_side.drop("main_key")), on="check_id", how="inner")
+        # few rows, but a main's features are as long as its text: their bytes decide
+        main_side = materialize(F.broadcast(mains).join(main_feats, mains.main_key == main_feats.m_key, "left").drop("main_key"))
+        pairs = subs.join(broadcast_within(main_side), on="check_id", how="inner")
     else:
         main_feats = document_features(_corpus(main_source, _keys(checks, "main_key")), [m], "m_", **tok)
         main_side = mains.join(main_feats, mains.main_key == main_feats.m_key, "left")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from resemble.functions.tokens import explode_items, with_tokens
 from resemble.operators.checks import MAX_BROADCAST_MAINS, _bounded_mains, rank_results
-from resemble.session import materialize
+from resemble.session import BROADCAST_BYTES, broadcast_within, materialize
 
 MAX_BROADCAST_POSTINGS = 2_000_000
 #: bytes of a piece of the mains' index, and cells that a worker counts at one time
@@ -41,8 +41,10 @@ def token_sets(corpus: DataFrame, key: str = "key", text: str = "content", **tok
 
 
 def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast ``df`` only if a bounded count proves it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast ``df`` only if it has at most ``limit`` rows that take at most ``BROADCAST_BYTES``; both are counted where the rows are."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and total <= BROADCAST_BYTES else df
 
 
 def set_similarity(metric: str, inter: Column, na: Column, nb: Column) -> Column:
@@ -88,7 +90,7 @@ def one_vs_many_postings(checks: DataFrame, corpus: DataFrame, metric: str = "co
     inter = overlap_counts(main_sets, doc_sets).withColumnRenamed("key", "sub_key")
     sizes = doc_sets.select(F.col("key").alias("sub_key"), F.size("s").alias("sn"))
     errors = corpus.select(F.col("key").alias("sub_key"), F.col("error").alias("s_error"))
-    meta = main_meta if keys is None else F.broadcast(main_meta)
+    meta = main_meta if keys is None else broadcast_within(main_meta)
     known = sizes.join(errors, "sub_key").withColumn("s_known", F.lit(True))
     pairs = checks.join(known, "sub_key", "left").join(meta, "check_id") \
         .join(inter, ["check_id", "sub_key"], "left")

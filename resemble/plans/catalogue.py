@@ -643,6 +643,19 @@ def user_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ck.content_metrics(conversation_pairs(spark, sf_dir), "pair_id", ["content_1", "content_2"], "overlap")
 
 
+@query
+def raw_metric_one_vs_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered metric that isn't rounded, first document against all, ranked by ranges of its scores."""
+    from resemble.functions.metrics import Metric, prepare_set, register_metric
+
+    def containment(left: str, right: str):
+        a, b = F.col(left + "set"), F.col(right + "set")
+        return F.when(F.size(b) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(F.size(b), F.lit(0)))
+
+    register_metric(Metric("raw_containment", prepare_set, containment, ("set",), rounded=False))
+    return ck.one_vs_many(first_doc_checks(spark, sf_dir), documents_corpus(spark, sf_dir), "raw_containment")
+
+
 @query
 def user_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: a registered extractor, each page's headings, over the parsed nodes."""

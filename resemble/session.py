@@ -74,3 +74,22 @@ def materialize(df):
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+#: bytes of a table that may be broadcast
+BROADCAST_BYTES = 64 << 20
+
+
+def within_bytes(df, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a small, stored or cheap table take no more than ``most`` bytes, summed on the executors."""
+    from pyspark.sql import functions as F
+
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
+def broadcast_within(df, most: int = BROADCAST_BYTES):
+    """A broadcast hint where the table's bytes are counted to be few; else the table as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if within_bytes(df, most) else df
