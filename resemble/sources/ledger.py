@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resemble.session import materialize
+
 # ---------------------------------------------------------------------------
 # Default expiry and the fetch messages.
 # ---------------------------------------------------------------------------
@@ -147,3 +149,48 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     """Append records to a ledger folder partitioned by crawl date."""
     ledger.withColumn("crawl_date", F.to_date("crawled_at")).write.mode("append") \
         .partitionBy("crawl_date").parquet(path)
+
+
+# --- S12 / U4 on a stored snapshot: only the buckets that fresh records touch are rewritten ---
+
+BUCKETS = 256
+
+
+def _bucketed(records: DataFrame, buckets: int) -> DataFrame:
+    return records.select(*LEDGER_COLUMNS, F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def _write_buckets(records: DataFrame, path: str, mode: str) -> None:
+    # one task writes a bucket, so a bucket is one file; dynamic: buckets without rows here stay as they are
+    records.repartition("bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def write_snapshot(ledger: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The latest record of each URL, in folders by a hash of the URL.
+
+    ``buckets`` belongs to the folder: every later upsert must name the same.
+    """
+    _write_buckets(_bucketed(latest_per_url(ledger), buckets), path, "error")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*LEDGER_COLUMNS)
+
+
+def upsert_snapshot(path: str, fresh: DataFrame, buckets: int = BUCKETS) -> int:
+    """Merge fresh records into a snapshot; returns how many of its buckets were rewritten.
+
+    A URL's bucket is known from its hash, so the other buckets are neither read
+    (the bucket list prunes their folders) nor written.  The merged rows are
+    checkpointed before the folders they were read from are replaced; a job that
+    is lost on the way leaves the old folders in place and can be run again.
+    """
+    spark = fresh.sparkSession
+    new = materialize(_bucketed(latest_per_url(fresh), buckets))
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # as many as buckets at most
+    if not touched:
+        return 0
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    merged = materialize(_bucketed(upsert(old, new), buckets))
+    _write_buckets(merged, path, "overwrite")
+    return len(touched)

@@ -73,3 +73,41 @@ def test_s11_ledger_write_and_prune(spark):
     hits = L.resolve(req, ledger.drop("crawl_date"), now)
     assert [r.url for r in hits.collect()] == ["a"]
     assert [r.url for r in L.frontier(req, ledger.drop("crawl_date"), now).collect()] == ["b"]
+
+
+def test_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    cols = "url string, content string, error string, code int, ok boolean, crawled_at timestamp"
+    day = dt.datetime(2024, 1, 1)
+    rows = [(f"http://u/{i}", f"old {i}", None, 200, True, day) for i in range(400)]
+    path = str(tmp_path / "snapshot")
+    L.write_snapshot(spark.createDataFrame([*rows, *rows[:50]], cols), path, 32)
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    assert len(before) <= 32 and L.read_snapshot(spark, path).count() == 400
+    fresh = [(rows[7][0], "new", None, 200, True, day + dt.timedelta(days=1)), ("http://u/added", "first", None, 200, True, day),
+             (rows[9][0], "older", None, 200, True, day - dt.timedelta(days=1))]
+    rewritten = L.upsert_snapshot(path, spark.createDataFrame(fresh, cols), 32)
+    after = files()
+    assert 1 <= rewritten <= 3 and len(set(before.items()) - set(after.items())) <= rewritten
+    assert len(set(before.items()) & set(after.items())) >= len(before) - rewritten
+    got = {r.url: r.content for r in L.read_snapshot(spark, path).collect()}
+    want = {r.url: r.content for r in L.upsert(spark.createDataFrame(rows, cols), spark.createDataFrame(fresh, cols)).collect()}
+    assert got == want and got[rows[7][0]] == "new" and got[rows[9][0]] == "old 9" and len(got) == 401
+    assert L.upsert_snapshot(path, spark.createDataFrame([], cols), 32) == 0 and files() == after
+
+
+@pytest.mark.parametrize("cells", [('say "hi"', "a\tb"), ("two\nlines", ' spaced "x" '), ("", "\\n \\"), ('"', '""'), ("é,ü;", "\r\n x\n\ny"), ("#no comment", "1")])
+def test_quoted_fields_come_back_as_they_are(spark, tmp_path, cells):
+    path = str(tmp_path / "result.csv")
+    C.write_result_table(spark.createDataFrame([cells, ("p", "q")], "one string, two string"), path)
+    assert sorted(map(tuple, C.read_content_table(spark, path).collect())) == sorted([cells, ("p", "q")])
+
+
+def test_uploads_of_other_writers(spark, tmp_path):
+    path = tmp_path / "upload.txt"
+    path.write_text('content1\tcontent2\n"say ""hi"" now\tx"\ty\n"two\nlines"\tz\nplain "quote" inside\t\n', encoding="utf-8")
+    got = [tuple(r) for r in C.read_content_table(spark, str(path)).collect()]
+    assert got == [('say "hi" now\tx', "y"), ("two\nlines", "z"), ('plain "quote" inside', "")]
