@@ -500,6 +500,17 @@ def ranked_retrieval_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, None)
 
 
+@query
+def ranked_retrieval_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 W4 with many mains: every benchmark item's text as a query over the items and all documents, ten hits each."""
+    from resemble.operators.ranking import ranked_retrieval_many as run
+
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id")).alias("key"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id")).alias("key"), "text")
+    checks = items.select(F.col("key").alias("check_id"), F.col("key").alias("main_key"))
+    return run(ck.corpus_from(items.unionByName(docs), "key", "text"), checks, 10)
+
+
 NEAR_DUP_THRESHOLD = 70.0
 NEAR_DUP_BITS = 3
 
