@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from resemble.session import checkpoint_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written as a table to the shared checkpoint folder and read back."""
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """``df`` computed once, written as a table to the shared checkpoint folder and read back; ``codec`` zstd for long texts."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
