@@ -81,6 +81,20 @@ def test_bitmaps_turn_away_most_candidates(spark, monkeypatch):
     assert without > 100 and with_bits < without / 10
 
 
+def test_sets_of_many_tokens_are_told_apart_before_they_move(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{j}" for j in rnd.sample(range(1_500), rnd.choice((450, 600, 700))))) for i in range(40)]
+    rows += [(100 + i, rows[i][1].replace("w1", "v1", 60 * i)) for i in range(8)]
+    sets, _ = simjoin._representatives(corpus(spark, rows), stem=False)
+    cand = simjoin.set_candidates(sets, "cosine", 70.0)
+    # the first copy is not changed at all: an edge of kind copy
+    want = {p for p in shared(rows, rows, "cosine", 70.0) if p[0] < p[1] and 100 not in p}
+    got = {(r.ka, r.kb) for r in simjoin._likely(cand, sets, sets, "cosine", 70.0).collect()}
+    assert cand.count() > 600 and len(got) < 60 and want <= got
+    near = simjoin.set_join(corpus(spark, rows), "cosine", 70.0, stem=False).where("kind = 'near'").collect()
+    assert {(r.doc_a, r.doc_b) for r in near} == want
+
+
 def test_set_join_plan_has_no_window(spark):
     plan = simjoin.set_join(corpus(spark, random_sets(30, 1)), "jaccard", 70.0)._jdf.queryExecution().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan
