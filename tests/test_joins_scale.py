@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resemble.functions import stem
-from resemble.functions.metrics import with_fingerprint
+from resemble.functions.metrics import _majority, with_fingerprint
 from resemble.operators import simjoin
 from resemble.operators.postings import many_mains_overlap
 from resemble.plans.stem_rules import stem_steps
@@ -112,6 +112,39 @@ def test_fingerprints_are_row_local(spark):
         assert r.fp & (2 ** 64 - 1) == want
 
 
+def test_fingerprints_at_the_bounds_of_the_lanes(spark):
+    from hashlib import md5
+
+    sizes = [125, 126, 127, 128, 32_766, 32_767]
+    df = spark.range(len(sizes)).select("id", F.element_at(F.array(*map(F.lit, sizes)), (F.col("id") + 1).cast("int")).alias("n"))
+    df = df.select("n", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i % 3 == 0, F.lit("same")).otherwise(i.cast("string"))).alias("t"))
+    hashes = {}
+    for r in with_fingerprint(df, "t", "fp").select("n", "fp").collect():
+        count = [0] * 64
+        for i in range(1, r.n + 1):
+            t = "same" if i % 3 == 0 else str(i)
+            if t not in hashes:
+                hashes[t] = int(md5(t.encode()).hexdigest()[16:], 16)
+            for b in range(64):
+                count[b] += hashes[t] >> b & 1
+        assert r.fp & (2 ** 64 - 1) == sum(1 << b for b in range(64) if 2 * count[b] > r.n)
+    # all bits in all hashes: no lane runs over
+    full = spark.range(1).select(F.array_repeat(F.lit(-1).cast("long"), 126).alias("_h"))
+    for lane, n in ((8, 126), (16, 32_766)):
+        assert spark.range(1).select(F.array_repeat(F.lit(-1).cast("long"), n).alias("_h")).select(F.expr(_majority(lane))).first()[0] == -1
+    assert full.select(F.expr(_majority(32))).first()[0] == -1
+
+
+def test_python_gets_few_texts_at_a_time(spark):
+    """Stems and LCS lengths take rows one by one: no Arrow batch of whole texts."""
+    from resemble.functions.metrics import fuzzy_ratio_udf
+    from resemble.functions.tokens import with_tokens
+
+    df = with_tokens(spark.createDataFrame([("running runners",)], "t string"), "t", "w").select(fuzzy_ratio_udf(F.array_join("w", " "), "t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_tables_meet_all_near_fingerprints(spark, bits):
     rnd = random.Random(bits)
