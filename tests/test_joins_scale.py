@@ -95,6 +95,13 @@ def test_sets_of_many_tokens_are_told_apart_before_they_move(spark):
     assert {(r.doc_a, r.doc_b) for r in near} == want
 
 
+def test_rows_of_a_repeated_key_make_no_more_pairs(spark):
+    rows = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i k"), (2, "a b c d e f g h i l")]
+    got = simjoin.set_join(corpus(spark, rows), "jaccard", 70.0, stem=False).collect()
+    # each row of key 1 against the one of key 2
+    assert sorted((r.doc_a, r.doc_b, r.similarity) for r in got if r.doc_a != r.doc_b) == [(1, 2, 81.82)] * 2
+
+
 def test_set_join_plan_has_no_window(spark):
     plan = simjoin.set_join(corpus(spark, random_sets(30, 1)), "jaccard", 70.0)._jdf.queryExecution().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan
