@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,39 @@ def test_sets_of_many_tokens_are_told_apart_before_they_move(spark):
     assert {(r.doc_a, r.doc_b) for r in near} == want
 
 
+def test_fitting_bitmaps_cost_a_sets_tokens(spark):
+    """They cost the tokens times the longs: minutes for a set of 100,000."""
+    rnd = random.Random(12)
+    # rows of a repeated key have a bitmap each, equal rows too
+    sets = [(k, sorted(rnd.getrandbits(62) for _ in range(n))) for k, n in ((1, 0), (2, 1), (3, 21), (4, 22), (5, 700), (5, 90))]
+    sets += [sets[-1], (6, [rnd.getrandbits(62) for _ in range(100_000)])]
+
+    def bitmap(ids):
+        w = [0] * (1 << max(0, (max(len(ids) * 3 / 64, 1) - 1e-12).__ceil__() - 1).bit_length())
+        for x in ids:
+            w[x & len(w) - 1] ^= 1 << (x >> 32 & 63)
+        return w
+
+    df = spark.createDataFrame([(k, len(ids), ids) for k, ids in sets], "key long, n int, ids array<long>")
+    begun = time.monotonic()
+    got = simjoin._bitmaps(df).collect()
+    assert time.monotonic() - begun < 30
+    got = sorted((r.key, r.n, [x & (1 << 64) - 1 for x in r.w]) for r in got)
+    assert got == sorted((k, len(ids), bitmap(ids)) for k, ids in sets)
+
+
+def test_a_pairs_smaller_set_gives_a_shorter_prefix(spark):
+    """Both sides of the join had the prefix that only a pair's larger set needs."""
+    ids = [list(range(1000 * k, 1000 * k + 100)) for k in range(10)]
+    df = spark.createDataFrame([(k, 100, x) for k, x in enumerate(ids)], "key long, n int, ids array<long>")
+    df = df.withColumn("n", F.col("n") + 0)
+    for metric, want in (("cosine", {31, 52}), ("jaccard", {18, 31})):
+        plan = simjoin.set_candidates(df, metric, 70.0)._jdf.queryExecution().optimizedPlan()
+        join = next(plan.apply(k) for k in range(60) if plan.apply(k).nodeName() == "Join")
+        sides = [spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, side) for side in (join.left(), join.right())]
+        assert {side.count() // 10 for side in sides} == want
+
+
 def test_rows_of_a_repeated_key_make_no_more_pairs(spark):
     rows = [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i k"), (2, "a b c d e f g h i l")]
     got = simjoin.set_join(corpus(spark, rows), "jaccard", 70.0, stem=False).collect()
